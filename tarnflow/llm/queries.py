@@ -2,18 +2,23 @@
 
 from tarnflow.llm.chat_formatting import ORACLE_OP8, op8_chat_formatting
 from tarnflow.llm.decontamination import op4_decontamination
+from tarnflow.llm.embedding_dedup import ORACLE_OP1, op1_embedding_near_dedup
+from tarnflow.llm.jaccard_join import op6_ngram_jaccard_join
 from tarnflow.llm.line_dedup import ORACLE_OP9, op9_line_dedup
 from tarnflow.llm.source_mixing import ORACLE_OP10, op10_source_mixing
 from tarnflow.llm.url_filter import ORACLE_OP3, op3_url_filter
 
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_decontamination": op4_decontamination,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_line_dedup": op9_line_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
 ORACLE_SQL = {
+    "op1_embedding_near_dedup": ORACLE_OP1,
     "op3_url_filter": ORACLE_OP3,
     "op8_chat_formatting": ORACLE_OP8,
     "op9_line_dedup": ORACLE_OP9,
