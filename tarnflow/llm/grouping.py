@@ -6,6 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys over all shuffle partitions and sorted by them there.
+
+    The number is given, so small inputs of costly tasks aren't gathered into a few partitions.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
 
 
 def _changes(table: pa.Table, keys: list[str]) -> np.ndarray:

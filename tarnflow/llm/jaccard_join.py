@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.llm.components import connected_components
-from tarnflow.llm.grouping import grouped
+from tarnflow.llm.grouping import dealt, grouped
 from tarnflow.llm.storage import cut
 from tarnflow.llm.textbytes import NOT_SPACE, U64, Prefix, Words, mix, pieces, text_bytes
 
@@ -251,8 +251,7 @@ def _link(num: int, den: int):
 
 def _linked(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Links within each (part, p, q) of ``part, p, q, rep, label, tokens``."""
-    dealt = rows.select("part", "p", "q", "rep", "label", "tokens").repartition("part", "p", "q").sortWithinPartitions("part", "p", "q")
-    return cut(dealt.mapInArrow(_link(num, den), "a long, b long"), "jaccard-links")
+    return cut(dealt(rows.select("part", "p", "q", "rep", "label", "tokens"), "part", "p", "q").mapInArrow(_link(num, den), "a long, b long"), "jaccard-links")
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words_each: int = 3, threshold: tuple[int, int] = (90, 100), block: int = 2048, block_tokens: int = 4_000_000, miss: float = 1e-9, seed: int = 5) -> DataFrame:
