@@ -126,7 +126,8 @@ class EventTimeWindow:
         if self.align == "first":
             first = F.greatest(F.lit(0).cast("long"), first)
         inside = based.withColumn("__a", first).withColumn("__b", last).where("__a <= __b")
-        return inside.withColumn("win", F.col("__anchor") + F.explode(F.sequence("__a", "__b")) * self.slide).drop("__a", "__b", "__anchor")
+        starts = F.transform(F.sequence("__a", "__b"), lambda k: F.col("__anchor") + k * self.slide)
+        return inside.withColumn("win", F.explode(starts)).drop("__a", "__b", "__anchor")
 
     def complete(self, out: DataFrame, keys: list[str]) -> DataFrame:
         return out

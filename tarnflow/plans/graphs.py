@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +42,14 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return labels.toDF("node", "component")
 
 
-def transitive_closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """All ``src, dst`` with a path between them: only pairs found in the last round are extended."""
-    edges = materialize(edges.select("src", "dst").distinct(), "edges")
-    hop = edges.toDF("dst", "next")
-    return fixpoint(edges, lambda known, new: new.join(hop, "dst").select("src", F.col("next").alias("dst")), rounds)
+def transitive_closure(edges: DataFrame) -> DataFrame:
+    """All ``src, dst`` with a path between them. Paths found in a round are joined to all known ones, so lengths double: rounds grow with the logarithm of the longest path."""
+
+    def longer(known: DataFrame, new: DataFrame) -> DataFrame:
+        after = new.join(known.toDF("dst", "next"), "dst").select("src", F.col("next").alias("dst"))
+        return after.union(known.join(new.toDF("dst", "next"), "dst").select("src", F.col("next").alias("dst")))
+
+    return fixpoint(edges.select("src", "dst"), longer)
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -93,9 +98,6 @@ def collatz_steps(value: int) -> int:
 
 def collatz_longest(spark, limit: int) -> DataFrame:
     """The start below ``limit`` with most Collatz steps: ``value, steps``; vectorised over Arrow batches."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("long")
     def steps(values: pd.Series) -> pd.Series:
         v = values.to_numpy(np.int64).copy()

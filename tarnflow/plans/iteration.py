@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tarnflow.storage import materialize
 
@@ -58,16 +57,12 @@ def collect_state(df: DataFrame, **named):
     return df.agg(*[c.alias(n) for n, c in named.items()]).first().asDict()
 
 
-def fixpoint(rows: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], rounds: int = 64) -> DataFrame:
+def fixpoint(rows: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """Add what ``step`` derives from the newest rows until nothing is new (semi-naive evaluation)."""
     known = materialize(rows.distinct(), "known")
     new = known
-    for _ in range(rounds):
+    while True:
         new = materialize(step(known, new).distinct().join(known, known.columns, "left_anti"), "new")
         if new.isEmpty():
-            break
+            return known
         known = materialize(known.union(new), "known")
-    return known
-
-
-__all__ = ["F", "collect_state", "delta_iterate", "fixpoint", "iterate", "replay"]
