@@ -16,36 +16,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.llm.components import connected_components
-from tarnflow.llm.grouping import grouped, smallest_reachable
+from tarnflow.llm.grouping import dealt, grouped, smallest_reachable
 from tarnflow.llm.storage import cut
 
 
 def plan_tables(n: int, threshold: float, miss: float, per_bucket: int = 64) -> tuple[int, int]:
     """Bits a table and number of tables: buckets of about ``per_bucket`` vectors, and a chance of at most ``miss`` to lose a pair at the threshold."""
-    bits = min(48, max(4, math.ceil(math.log2(max(2, n) / per_bucket))))
+    bits = min(31, max(4, math.ceil(math.log2(max(2, n) / per_bucket))))
     same = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(miss) / math.log1p(-same)))
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     """Unit vectors, in double precision, from the bytes of a binary column."""
-    x = np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dims)
+    data = b"".join(column.to_pylist())
+    x = np.frombuffer(data, "<f8" if len(data) == 8 * dims * len(column) else "<f4").reshape(-1, dims).astype(float)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Usable vectors as bytes; the rest as null."""
+    """Usable vectors as bytes, in the precision they come in; the rest as null."""
     for batch in batches:
-        column = batch.column("embedding").cast(pa.list_(pa.float64()))
-        flat, offs = np.asarray(column.flatten().fill_null(np.nan)), np.concatenate(([0], np.cumsum(np.asarray(column.value_lengths().fill_null(0)))))
-        flat = flat + 0.0  # no negative zeros
+        column = batch.column("embedding")
+        sizes = np.asarray(column.value_lengths().fill_null(0))
+        flat, offs = np.asarray(column.flatten().fill_null(np.nan)), np.concatenate(([0], np.cumsum(sizes)))
+        flat = flat + flat.dtype.type(0)  # no negative zeros
         out = []
-        with np.errstate(invalid="ignore"):
-            for lo, hi in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-                x = flat[lo:hi]
-                out.append(x.tobytes() if hi > lo and np.isfinite(x).all() and x.any() else None)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "vec"])
+        for lo, hi in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+            x = flat[lo:hi]
+            out.append(x.tobytes() if hi > lo and np.isfinite(x).all() and x.any() else None)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary()), pa.array(sizes, pa.int32())], ["id", "vec", "dims"])
 
 
 def _sign(bits_of: dict[int, tuple[int, int]], seed: int):
@@ -61,7 +62,7 @@ def _sign(bits_of: dict[int, tuple[int, int]], seed: int):
                 for at in range(0, part.num_rows, 2048):
                     own = part.slice(at, 2048)
                     signs = (_matrix(own.column("vec"), d) @ planes[d] > 0).reshape(-1, tables, bits)
-                    codes = signs @ (1 << np.arange(bits, dtype=np.int64))
+                    codes = (signs @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(own.num_rows + 1) * tables, pa.int32()), pa.array(codes.ravel()))
                     yield pa.RecordBatch.from_arrays([own.column("rep"), own.column("size"), own.column("dims"), own.column("vec"), lists], ["rep", "size", "dims", "vec", "codes"])
 
@@ -93,8 +94,8 @@ def _compare(threshold: float):
                 i, j = one[i], two[j]
             if t and len(i):  # met in an earlier table?
                 new = np.ones(len(i), bool)
-                for at in range(0, len(i), 100_000):
-                    s = slice(at, at + 100_000)
+                for at in range(0, len(i), 1 << 15):
+                    s = slice(at, at + (1 << 15))
                     new[s] = ~(codes[i[s], :t] == codes[j[s], :t]).any(1)
                 i, j = i[new], j[new]
             if not len(i):
@@ -116,7 +117,7 @@ def _compare(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9, miss: float = 1e-4, block: int = 1024, seed: int = 11) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9, miss: float = 1e-4, block: int = 512, seed: int = 11) -> DataFrame:
     """One row per vector: ``id, n_links, component`` (smallest id that links lead to, itself included).
 
     Vectors link when their cosine, in double precision, is at least ``threshold``. A pair at the threshold
@@ -130,20 +131,22 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     """
     if not 0 < threshold < 1:
         raise ValueError("threshold must be between 0 and 1")
-    given = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("embedding"))
-    packed = cut(given.mapInArrow(_pack, "id long, vec binary"), "vectors")
+    given = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("embedding"))
+    if given.schema["embedding"].dataType.elementType.typeName() != "float":
+        given = given.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    packed = cut(given.mapInArrow(_pack, "id long, vec binary, dims int"), "vectors")
     usable = packed.where("id is not null and vec is not null")
-    classes = cut(usable.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).withColumn("dims", (F.octet_length("vec") / 8).cast("int")), "vector-classes")
+    classes = cut(usable.groupBy("vec", "dims").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")), "vector-classes")
     bits_of = {r.dims: plan_tables(r["count"], threshold, miss) for r in classes.groupBy("dims").count().collect()}  # one row per length of vector
-    signed = cut(classes.mapInArrow(_sign(bits_of, seed), "rep long, size long, dims int, vec binary, codes array<long>"), "signed")
+    signed = cut(classes.mapInArrow(_sign(bits_of, seed), "rep long, size long, dims int, vec binary, codes array<int>"), "signed")
     spread = signed.select("*", F.posexplode("codes").alias("t", "code"))
     buckets = signed.select("dims", F.posexplode("codes").alias("t", "code")).groupBy("dims", "t", "code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = cut(buckets.select("dims", "t", "code", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "buckets")
     met = spread.join(buckets, ["dims", "t", "code"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = met.select("*", other.alias("other")).withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
-    dealt = dealt.select("dims", "t", "code", "p", "q", "own", "rep", "size", "vec", "codes").repartition("dims", "t", "code", "p", "q").sortWithinPartitions("dims", "t", "code", "p", "q")
-    links = cut(dealt.mapInArrow(_compare(threshold), "rep long, add long, low long"), "links")
+    pairs = met.select("*", other.alias("other")).withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
+    rows = dealt(pairs.select("dims", "t", "code", "p", "q", "own", "rep", "size", "vec", "codes"), "dims", "t", "code", "p", "q")
+    links = cut(rows.mapInArrow(_compare(threshold), "rep long, add long, low long"), "links")
     counts = links.groupBy("rep").agg(F.sum("add").alias("add"))
     parts = connected_components(links.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     judged = classes.select("vec", "rep", "size").join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
