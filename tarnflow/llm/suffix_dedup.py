@@ -30,7 +30,7 @@ def segments(raw: np.ndarray, offs: np.ndarray, least: int, gram: int) -> tuple[
     """For each run of starts with one anchor: row, first start, number of starts, hashes of the anchor and of the run's bytes, and of the bytes beside it.
 
     Equal strings around an anchor agree in at least half of what ``least`` leaves beside the anchor, on its left
-    or on its right; where a run has less than that on a side its hash there is 0.
+    or on its right. The last hash has 32 bits for each side, 0 where a run has fewer bytes than that there.
     """
     prefix = byte_prefix(raw)
     width = least - gram + 1
@@ -53,12 +53,13 @@ def segments(raw: np.ndarray, offs: np.ndarray, least: int, gram: int) -> tuple[
             end = first + n + least - 1
             mid, side = lo + anchor[new], -(-(least - gram) // 2)
             left, right = np.maximum(first, mid - side), np.minimum(end, mid + gram + side)
-            left = np.where(mid - left == side, prefix.hash(left, mid), 0)
-            right = np.where(right - mid - gram == side, prefix.hash(mid + gram, right), 0)
-            out.append((doc[new], first, n, grams[anchor[new]], prefix.hash(first, end), left, right))
+            left = np.where(mid - left == side, prefix.hash(left, mid), 0).astype(U64)
+            right = np.where(right - mid - gram == side, prefix.hash(mid + gram, right), 0).astype(U64)
+            half = U64(32)
+            out.append((doc[new], first, n, grams[anchor[new]], prefix.hash(first, end), left >> half << half | right >> half))
     if not out:
         none = np.zeros(0, np.int64)
-        return none, none, none, *[none.astype(U64)] * 4
+        return none, none, none, *[none.astype(U64)] * 3
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -68,8 +69,8 @@ def _segment_rows(least: int, gram: int):
             raw, offs = text_bytes(batch.column("text"))
             doc, start, n, *hashes = segments(raw, offs, least, gram)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(pa.array(doc)), pa.array(start - offs[doc]), pa.array(n, pa.int32()), *[pa.array(h.view(np.int64)) for h in hashes]],
-                ["key", "start", "n", "anchor", "seg", "lefts", "rights"],
+                [*[batch.column(k).take(pa.array(doc)) for k in ("k1", "k2")], pa.array(start - offs[doc]), pa.array(n, pa.int32()), *[pa.array(h.view(np.int64)) for h in hashes]],
+                ["k1", "k2", "start", "n", "anchor", "seg", "sides"],
             )
 
     return run
@@ -262,38 +263,42 @@ def _strip(least: int, row_type: pa.DataType):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = 400, gram: int = 100, block: int = 256) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = 400, gram: int = 64, block: int = 256) -> DataFrame:
     """Each document as ``row`` (struct of its other columns), ``n_bytes, n_removed, n_spans, kept_sha256`` and ``kept`` (binary).
 
     Bytes that a string of ``least`` bytes covers go if it starts anywhere else, in the same text or another;
     overlaps count and strings are judged on the input. Matches don't cross texts. What is kept may be cut
     within a character, so it is binary. Null texts are empty. Repeated rows each give a row and repeat each
-    other; a null id is an id like others; empty tables give no rows; other columns are only carried.
+    other; documents are told apart by id and a 64-bit hash of their
+    text; a null id is an id like others; empty tables give no rows; other columns are only carried.
 
     An anchor with more than ``block`` different segments would make a transform too large for one task: its
     strings are counted one by one instead, by hash, combined before the shuffle.
     """
     if not 0 < gram <= least:
         raise ValueError("gram must be between 1 and least")
-    key = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("?")), F.col(text).cast("string"))))
+    kind = docs.schema[doc_id].dataType.typeName()
+    k1 = F.col(doc_id).cast("long") if kind in ("byte", "short", "integer", "long") else F.xxhash64(F.lit(2), F.col(doc_id))
+    keys = [F.coalesce(k1, F.lit(-(1 << 63))).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    packed = docs.select(F.struct(*others).alias("row"), F.col(text).cast("string").alias("text"), key.alias("key"))
-    texts = packed.select("key", "text").where(F.octet_length("text") >= least)
-    runs = cut(texts.mapInArrow(_segment_rows(least, gram), "key binary, start long, n int, anchor long, seg long, lefts long, rights long"), "segments")
-
-    firsts = [F.first(c).alias(c) for c in ("n", "lefts", "rights")]
-    classes = runs.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "start")).alias("at"), *firsts)
-    classes = cut(classes, "segment-classes")
-    # Classes with one anchor and equal bytes on one side of it may hold equal strings; nothing is to be found among classes that are repeated whole.
-    sides = classes.select("anchor", "seg", "copies", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("lefts").alias("h")), F.struct(F.lit(1).alias("side"), F.col("rights").alias("h")))).alias("x")).where("x.h <> 0").select("anchor", "seg", "copies", "x.side", "x.h")
-    alike = sides.groupBy("anchor", "side", "h").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("fewest")).where("kinds > 1 and fewest = 1")
-    near = sides.join(alike, ["anchor", "side", "h"]).select("anchor", "seg").distinct()
-    near = cut(near, "near-classes")
-    anchors = near.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    met = near.join(anchors, "anchor").select("anchor", "seg", (F.col("kinds") > block).alias("large"))
-    unclear = classes.join(met, ["anchor", "seg"]).select(F.col("at.key").alias("key"), F.struct("anchor", "seg", F.col("at.start").alias("start"), "n", "large").alias("x"))
-    wanted = unclear.groupBy("key").agg(F.collect_list("x").alias("wanted"))  # no more than a text has segments
-    found = texts.join(wanted, "key").select("text", "wanted").mapInArrow(_cut_out(least), "anchor long, seg long, large boolean, bytes binary")
+    packed = docs.select(F.struct(*others).alias("row"), F.col(text).cast("string").alias("text"), *keys)
+    texts = packed.select("k1", "k2", "text").where(F.octet_length("text") >= least)
+    runs = cut(texts.mapInArrow(_segment_rows(least, gram), "k1 long, k2 long, start long, n int, anchor long, seg long, sides long"), "segments")
+
+    firsts = [F.first(c).alias(c) for c in ("k1", "k2", "start", "n", "sides")]  # all of one row, which the table then fixes
+    classes = cut(runs.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("copies"), *firsts), "segment-classes")
+    # Nothing is to be found under an anchor with one class, or with repeated ones only.
+    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("fewest")).where("kinds > 1 and fewest = 1").select("anchor")
+    several = cut(classes.join(several, "anchor", "left_semi"), "segment-kinds")
+    # Classes with one anchor and equal bytes on one side of it may hold equal strings.
+    halves = F.array(F.struct(F.lit(0).alias("side"), F.shiftright("sides", 32).alias("h")), F.struct(F.lit(1).alias("side"), F.col("sides").bitwiseAND(0xFFFFFFFF).alias("h")))
+    beside = several.select("anchor", "seg", "copies", F.inline(halves)).where("h <> 0")
+    alike = beside.groupBy("anchor", "side", "h").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("fewest")).where("kinds > 1 and fewest = 1")
+    near = cut(beside.join(alike.select("anchor", "side", "h"), ["anchor", "side", "h"], "left_semi").select("anchor", "seg").distinct(), "near-classes")
+    met = near.join(near.groupBy("anchor").agg((F.count(F.lit(1)) > block).alias("large")), "anchor")
+    unclear = several.join(met, ["anchor", "seg"]).select("k1", "k2", F.struct("anchor", "seg", "start", "n", "large").alias("x"))
+    wanted = unclear.groupBy("k1", "k2").agg(F.collect_list("x").alias("wanted"))  # no more than a text has segments
+    found = texts.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(_cut_out(least), "anchor long, seg long, large boolean, bytes binary")
     found = cut(found, "segment-bytes")
 
     some = dealt(found.where("not large").select("anchor", "seg", "bytes"), "anchor").mapInArrow(_expand(least), f"anchor long, seg long, ranges {_RANGES}")
@@ -304,11 +309,11 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     whole = classes.where("copies > 1").select("anchor", "seg", F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b"))).alias("ranges"))
     covered = cut(whole.unionByName(some.unionByName(many).join(whole, ["anchor", "seg"], "left_anti")), "covered")
 
-    spans = runs.join(covered, ["anchor", "seg"]).select("key", "start", F.explode("ranges").alias("r"))
-    spans = spans.select("key", F.struct((F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b")).alias("s")).groupBy("key").agg(F.collect_set("s").alias("spans"))
+    spans = runs.join(covered, ["anchor", "seg"]).select("k1", "k2", "start", F.explode("ranges").alias("r"))
+    spans = spans.select("k1", "k2", F.struct((F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b")).alias("s")).groupBy("k1", "k2").agg(F.collect_set("s").alias("spans"))
     row_type = packed.select("row").limit(0).toArrow().schema.field("row").type
     schema = StructType([packed.schema["row"], *[StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")], StructField("kept_sha256", StringType()), StructField("kept", BinaryType())])
-    return packed.join(spans, "key", "left").select("row", "text", "spans").mapInArrow(_strip(least, row_type), schema)
+    return packed.join(spans, ["k1", "k2"], "left").select("row", "text", "spans").mapInArrow(_strip(least, row_type), schema)
 
 
 def op5_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
