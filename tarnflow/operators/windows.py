@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -172,12 +173,20 @@ class TransactionWindow:
         return out.where("__committed")
 
 
+def _framed(df: DataFrame, keys: list[str], window: LastKWindow, order_by: list[str], named: dict[str, Column | str]) -> DataFrame | None:
+    """Last-k windows as row frames, without copying rows; None for expressions over aggregates, which have no frame."""
+    frame = Window.partitionBy(*_keys(keys)).orderBy(*order_by).rowsBetween(-(window.k - 1), 0)
+    place = F.row_number().over(Window.partitionBy(*_keys(keys)).orderBy(*order_by)) - 1
+    try:
+        return df.select(*keys, place.cast("long").alias("win"), *[as_column(c).over(frame).alias(n) for n, c in named.items()])
+    except AnalysisException:
+        return None
+
+
 def aggregate(df: DataFrame, keys: list[str], window, order_by: list[str], **named: Column | str) -> DataFrame:
     """``keys, win`` and the aggregates of each complete window."""
-    if isinstance(window, LastKWindow):  # frames, without copying rows
-        frame = Window.partitionBy(*_keys(keys)).orderBy(*order_by).rowsBetween(-(window.k - 1), 0)
-        place = F.row_number().over(Window.partitionBy(*_keys(keys)).orderBy(*order_by)) - 1
-        return df.select(*keys, place.cast("long").alias("win"), *[as_column(c).over(frame).alias(n) for n, c in named.items()])
+    if isinstance(window, LastKWindow) and (framed := _framed(df, keys, window, order_by, named)) is not None:
+        return framed
     assigned = window.assign(df, keys, order_by)
     extra = [F.count(F.lit(1)).alias("__n")]
     if isinstance(window, TransactionWindow):
