@@ -130,9 +130,15 @@ def repeated_starts(parts: list[bytes], least: int) -> list[np.ndarray]:
     hi = np.concatenate((before + counts, len(raw) + np.arange(many) + 1))
     common[hi] = 0
     for length in range(1, least):
-        below, above = seen[lo], seen[hi]
+        alone = hi - lo == 1
+        at = lo[alone]  # an interval of one place is extended by the one symbol before it
+        symbol = bwt[at]
+        at, symbol = at[symbol < sigma], symbol[symbol < sigma]
+        single = before[symbol] + seen[at, symbol]
+        below, above = seen[lo[~alone]], seen[hi[~alone]]
         which, symbol = np.nonzero(above > below)
-        new_lo, new_hi = before[symbol] + below[which, symbol], before[symbol] + above[which, symbol]
+        new_lo = np.concatenate((single, before[symbol] + below[which, symbol]))
+        new_hi = np.concatenate((single + 1, before[symbol] + above[which, symbol]))
         unset = common[new_hi] < 0
         lo, hi = new_lo[unset], new_hi[unset]
         if not len(lo):
@@ -263,7 +269,7 @@ def _strip(least: int, row_type: pa.DataType):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = 400, gram: int = 64, block: int = 256) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = 400, gram: int = 100, block: int = 256) -> DataFrame:
     """Each document as ``row`` (struct of its other columns), ``n_bytes, n_removed, n_spans, kept_sha256`` and ``kept`` (binary).
 
     Bytes that a string of ``least`` bytes covers go if it starts anywhere else, in the same text or another;
