@@ -202,3 +202,16 @@ def op4_decontamination(spark, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+ORACLE_OP4 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+i AS (SELECT DISTINCT item_id, least(10, len(ws)) AS m, array_to_string(ws[s : s + least(10, len(ws)) - 1], ' ') AS win FROM b, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS u(s) WHERE len(ws) > 0),
+d AS (SELECT doc_id, m, s, array_to_string(ws[s : s + m - 1], ' ') AS win FROM w, (SELECT DISTINCT m FROM i), unnest(range(1, len(ws) - m + 2)) AS u(s)),
+h AS (SELECT d.doc_id, d.s, d.m, item_id FROM d JOIN i USING (m, win)),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, unnest(range(s, s + m)) AS u(p) GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
