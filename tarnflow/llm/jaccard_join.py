@@ -55,10 +55,22 @@ class Shingles:
         return tuple(out)
 
 
-def plan_bands(threshold: float, miss: float = 1e-9) -> tuple[int, int]:
-    """Minimum hashes a band and number of bands."""
+def miss_chance(threshold: float, each: int, bands: int) -> float:
+    """Chance that a pair at the threshold shares no band, over how many of the base's hashes agree."""
+    chance = 0.0
+    for m in range(_BASE + 1):
+        weight = math.comb(_BASE, m) * threshold**m * (1 - threshold) ** (_BASE - m)
+        chance += weight * (1 - math.comb(m, each) / math.comb(_BASE, each)) ** bands
+    return chance
+
+
+def plan_bands(threshold: float, miss: float = 1e-6) -> tuple[int, int]:
+    """Minimum hashes a band, and the least number of bands that keeps the chance of a miss under ``miss``."""
     each = max(1, math.floor(math.log(0.4) / math.log(threshold)))
-    return each, math.ceil(math.log(miss) / math.log1p(-(threshold**each)))
+    bands = 1
+    while miss_chance(threshold, each, bands) > miss:
+        bands += 1
+    return each, bands
 
 
 def band_hashes(sets: Shingles, each: int, bands: int, seed: int) -> np.ndarray:
@@ -254,7 +266,7 @@ def _linked(rows: DataFrame, num: int, den: int) -> DataFrame:
     return cut(dealt(rows.select("part", "p", "q", "rep", "label", "tokens"), "part", "p", "q").mapInArrow(_link(num, den), "a long, b long"), "jaccard-links")
 
 
-def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words_each: int = 3, threshold: tuple[int, int] = (90, 100), block: int = 2048, block_tokens: int = 4_000_000, miss: float = 1e-9, seed: int = 5) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words_each: int = 3, threshold: tuple[int, int] = (90, 100), block: int = 2048, block_tokens: int = 4_000_000, miss: float = 1e-6, seed: int = 5) -> DataFrame:
     """One row per document: ``id, n_shingles, component`` (smallest id that links lead to, itself included).
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. A set is a text's distinct runs of ``words_each``
@@ -263,8 +275,8 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     null. Equal texts count as linked; repeated rows each give a row. Empty tables give no rows; other
     columns are ignored.
 
-    A linked pair shares no band with a chance of about ``miss`` when every band has hashes of its own;
-    bands here share a base of 128. Components of more than ``block`` sets or ``block_tokens`` tokens are
+    A pair at the threshold shares no band with a chance of at most ``miss``, closer pairs with far less.
+    Components of more than ``block`` sets or ``block_tokens`` tokens are
     dealt into blocks twice, at random, and linked within blocks; what is still apart from the largest
     part of its component is then compared with every block.
     """

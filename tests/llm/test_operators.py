@@ -38,10 +38,11 @@ def empty(df):
     return df.limit(0)
 
 
-def test_components_match_brute_force(spark):
+@pytest.mark.parametrize("few", [400_000, 0, 150])
+def test_components_match_brute_force(spark, few):
     rng = np.random.default_rng(1)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 200)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame([*pairs, (None, 4), (7, 7)], "a long, b long")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame([*pairs, (None, 4), (7, 7)], "a long, b long"), few).collect()}
     nodes = sorted({x for p in pairs if p[0] != p[1] for x in p})
     at = {x: i for i, x in enumerate(nodes)}
     a, b = np.array([(at[x], at[y]) for x, y in pairs if x != y]).T
