@@ -28,13 +28,15 @@ _BLOCK = set(
 _NOISE = set("head title script style noscript template nav menu header footer aside form button select textarea datalist dialog iframe object svg canvas audio video math applet frameset noframes".split())
 _NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "status", "tablist"}
 _NOISE_NAMES = set(
-    "ad ads advert adverts advertisement advertising advertorial banner sponsor sponsored sponsors promo promoted promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets related recommended share sharing social cookie cookies consent gdpr notice notices notification popup modal overlay subscribe subscription newsletter signup login comment comments commentlist disqus respond reply replies discussion toolbar pagination pager skip outbrain taboola copyright hidden".split()
+    "ad ads advert adverts advertisement advertising advertorial banner sponsor sponsored sponsors promo promoted promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets related recommended share sharing social cookie cookies consent gdpr notice notices notification popup modal overlay subscribe subscription newsletter signup login comment comments commentlist disqus respond reply replies discussion toolbar pagination pager skip outbrain taboola copyright hidden adsbygoogle topbar leaderboard rail paywall teaser teasers".split()
 )
 #: What a start tag ends if it is open: an element can't stand inside another of its kind.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 #: Where the search for such an element stops.
 _SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "body": {"html"}}
 _KEEP = {"html", "body", "main", "article"}
+#: Whole class names that make even an article noise.
+_NOT_ARTICLE = {"ad", "advert", "advertisement", "comment", "comments", "comment-item", "comment-body", "promo", "related", "reply", "sponsored", "teaser"}
 _REGIONS = {"article", "main", "section", "div", "td", "body"}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -56,9 +58,12 @@ def _is_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         elif name == "style":
             if "display:none" in value.replace(" ", "").lower():
                 return True
+        elif name == "class" and tag == "article":
+            if not _NOT_ARTICLE.isdisjoint(value.lower().split()):
+                return True
         elif name in ("class", "id") and tag not in _KEEP:
             spaced = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
-            if not _NOISE_NAMES.isdisjoint(_SPLIT.split(spaced)):
+            if not _NOISE_NAMES.isdisjoint(x.rstrip("0123456789") for x in _SPLIT.split(spaced)):
                 return True
     return False
 
@@ -73,6 +78,7 @@ class Lines(HTMLParser):
         self.tags = 0
         self.open: list[tuple[str, bool, int, int]] = []  # tag, noise, region, article
         self.count = 0
+        self.kinds: dict[int, str] = {}
 
     def flush(self) -> None:
         if self.parts:
@@ -117,8 +123,9 @@ class Lines(HTMLParser):
         if tag in _REGIONS and not inner:
             self.count += 1
             region = self.count
-            if tag in ("article", "main") and not article:
+            if tag in ("article", "main") and self.kinds.get(article) != "article" and (tag == "article" or not article):
                 article = self.count
+                self.kinds[article] = tag
         self.open.append((tag, inner, region, article))
 
     def handle_startendtag(self, tag, attrs):
@@ -171,7 +178,8 @@ def main_text(html: str | None, sigma: float = 1.0, strength: float = 0.5) -> st
     mass = np.where(content, chars, 0)
     if (article[content] > 0).any():
         by = np.bincount(article, mass)
-        by[0] = 0
+        inside = [page.kinds.get(k) == "article" for k in range(len(by))]
+        by[~np.array(inside) if by[inside].any() else 0] = 0  # an article within a main element is the closer one
         chosen = ~noise & (by[article] >= 0.5 * by.max()) & (article > 0)
     else:
         # Regions that hold a good part of the mass of the best one, and what stands between their first and last content line.

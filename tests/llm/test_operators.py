@@ -83,6 +83,12 @@ def test_html_main_text():
     assert html_extraction.main_text(page) == "Title & more\nFirst paragraph goes on with bold words.\nShort.\nOne\nTwo"
     assert html_extraction.main_text(None) == "" == html_extraction.main_text("") == html_extraction.main_text("<nav>x</nav>")
     assert html_extraction.main_text("plain words") == "plain words"
+    nested = """<main><div class="crumbs">Home</div><article class="post"><h1>A title</h1><p>Some text of the article, long enough to count.</p>
+    <article class="comment"><p>A reader says quite a lot of things here as well.</p></article></article></main>"""
+    assert html_extraction.main_text(nested) == "A title\nSome text of the article, long enough to count."
+    bare = """<body><div id="ad12">Buy</div><div class="page"><h2>Head</h2><p>The first paragraph has enough words to be content.</p><table><tr><td>x<td>y</table>
+    <p>And the second paragraph has enough words too.</p><p>End.</p></div><div class="links"><a>a</a> <a>b</a></div></body>"""
+    assert html_extraction.main_text(bare) == "Head\nThe first paragraph has enough words to be content.\nx\ny\nAnd the second paragraph has enough words too.\nEnd."
 
 
 def test_html_table(spark):
