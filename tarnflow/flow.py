@@ -101,6 +101,10 @@ class Flow:
     def map_async_memo(self, keys: list[str], fn, name: str, kind: str) -> Flow:
         return self._new(transforms.map_async_memo(self.df, keys, fn, name, kind))
 
+    def explain(self, mode: str = "formatted") -> None:
+        """The physical plan."""
+        self.df.explain(mode)
+
     def transform(self, fn: Callable[[DataFrame], DataFrame]) -> Flow:
         """Any operator of one's own."""
         return self._new(fn(self.df))

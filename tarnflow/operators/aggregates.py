@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnflow.operators.transforms import as_column
 
@@ -24,19 +25,30 @@ def keyed_fold(df: DataFrame, keys: list[str], **named: Column | str) -> DataFra
 def extreme_element(df: DataFrame, keys: list[str], value: str, order_by: list[str], largest: bool) -> DataFrame:
     """The whole row with the largest or smallest value of each key; of equal ones the first by ``order_by``.
 
-    An aggregate over structs, so it combines before the shuffle. A null value never wins over another.
+    One aggregate over structs, so it combines before the shuffle; for the largest of a type without
+    negatives a pass for the value comes first. A null value never wins over another.
     """
     rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*[F.col(c) for c in rest])
-    tie = F.struct(*[F.col(c) for c in order_by])
-    best = df.groupBy(*keys).agg((F.max if largest else F.min)(value).alias("__best"))
-    same = None
+    row, tie = F.struct(*rest), [F.col(c) for c in order_by]
+    kind = df.schema[value].dataType
+    v = F.col(value)
+    if not largest:
+        rank = v
+    elif isinstance(kind, T.IntegralType):
+        rank = F.bitwise_not(v)  # falls as the value grows, and can't overflow
+    elif isinstance(kind, (T.FractionalType, T.DecimalType)):
+        rank = F.negative(v)
+    else:
+        rank = None
+    if rank is not None:
+        out = df.groupBy(*keys).agg(F.min_by(row, F.struct(v.isNull(), rank, *tie)).alias("__row"))
+        return out.select(*keys, "__row.*").select(*df.columns)
+    best = df.groupBy(*keys).agg(F.max(value).alias("__best"))
+    named = best.toDF(*[f"__{k}" for k in keys], "__best")
+    same = v.eqNullSafe(F.col("__best"))
     for k in keys:
-        one = df[k].eqNullSafe(best[k])
-        same = one if same is None else same & one
-    # Values first, then ties: both passes aggregate partially.
-    top = df.join(best, same & df[value].eqNullSafe(best["__best"]), "left_semi")
-    out = top.groupBy(*keys).agg(F.min_by(row, tie).alias("__row"))
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    out = df.join(named, same, "left_semi").groupBy(*keys).agg(F.min_by(row, F.struct(*tie)).alias("__row"))
     return out.select(*keys, "__row.*").select(*df.columns)
 
 

@@ -43,6 +43,8 @@ def test_extreme_elements(engine):
     flow = numbers(engine, 10)
     assert vals(flow.group_by_min_element({"k": "value % 2"}, "value", ["value"]), "k", "value") == [(0, 0), (1, 1)]
     assert vals(flow.with_columns(v="value DIV 4").group_by_max_element({"k": "value % 2"}, "v", ["value"]), "k", "value") == [(0, 8), (1, 9)]
+    words = engine.rows([(1, "b", 2), (1, "b", 1), (1, "a", 0)], "k int, v string, s int")
+    assert vals(words.group_by_max_element({"k": "k"}, "v", ["s"]), "k", "s") == [(1, 1)]
     nulls = engine.rows([(1, None, 1), (1, 5, 2), (2, None, 3), (None, 1, 4)], "k int, v int, s int")
     assert vals(nulls.group_by_max_element({"k": "k"}, "v", ["s"]).filter("k is not null"), "k", "s") == [(1, 2), (2, 3)]
 
