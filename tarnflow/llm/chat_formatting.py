@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
+from tarnflow.llm.storage import bound_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 #: Ids that the vocabulary of 50,256 ranks leaves free.
 START_ID, END_ID = 50256, 50257
@@ -112,6 +114,7 @@ def format_chats(conversations: DataFrame, *, conv_id: str = "conv_id", turn: st
     Rows are sorted within conversations on disk if need be and stream through: a conversation of any
     length takes the memory of a turn.
     """
+    bound_batches(conversations.sparkSession)
     rows = conversations.select(
         F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     )

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from tarnflow.llm.storage import bound_batches
 from tarnflow.llm.textbytes import pieces
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -211,6 +212,7 @@ def extract_main_text(pages: DataFrame, *, html: str = "html") -> DataFrame:
     gives an empty text. Repeated rows each give a row; an empty table gives none. Pages are parsed whole, one
     at a time, so memory follows the longest page.
     """
+    bound_batches(pages.sparkSession)
     others = [F.col(f"`{c}`") for c in pages.columns if c != html]
     packed = pages.select(F.struct(*others).alias("row"), F.col(html).cast("string").alias("html"))
     row_type = packed.select("row").limit(0).toArrow().schema.field("row").type
