@@ -75,6 +75,20 @@ def test_unique_and_reorder(spark, ticks):
     assert sum(map(len, seen)) == 61 and all(b == sorted(b) for b in seen)
 
 
+def test_transactions(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = [(1, "a", at(1), "go", None), (2, "a", at(2), "commit", None), (3, "a", at(3), "go", None), (4, "a", at(4), "discard", None), (5, "b", at(1), "commit_after", at(3)), (6, "b", at(2), "go", None), (7, "b", at(9), "go", None)]
+    later = [(8, "c", at(100), "go", None)]
+    kind = "id long, k string, ts timestamp, op string, close timestamp"
+    for k, part in enumerate((rows[:6], rows[6:] + later, [(9, "c", at(200), "go", None)])):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = flows.with_watermark(readers.files_stream(spark, str(tmp_path / "in"), kind), "ts", "1 second")
+        out = flows.transactions(stream, ["k"], "ts", "op", "close", lambda rs: {"ids": ",".join(str(r["id"]) for r in rs)}, "ids string")
+        flows.to_parquet(out, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+        del k
+    assert sorted(r.ids for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1,2", "5,6"]
+
+
 def test_channels(spark, tmp_path):
     channel = readers.Channel(spark, "x long", size=4)
     for k in range(10):
