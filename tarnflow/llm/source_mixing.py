@@ -50,10 +50,12 @@ def mixing_means(docs: DataFrame, *, source: str = "source", weights: dict[str,
         if not weights or min(weights.values()) < 0 or max(weights.values()) <= 0:
             raise ValueError("weights must be non-negative, with one above zero")
         weight = F.coalesce(F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))])[F.col("source")], F.lit(0.0))
-    sums = n.select("source", "n", weight.alias("w"))
-    whole = sums.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))  # one row
-    size = F.lit(float(total)) if total is not None else F.col("all_n")
-    return sums.join(F.broadcast(whole)).select("source", "n", F.when(F.col("all_w") > 0, size * F.col("w") / F.col("all_w") / F.col("n")).otherwise(0.0).alias("mean"))
+    sums = cut(n.select("source", "n", F.round(weight, 15).alias("w")), "mixing-weights")
+    # One row of exact sums, so that means are the same on every run.
+    whole = sums.agg(F.sum("n").alias("n"), F.sum(F.col("w").cast("decimal(38,15)")).cast("double").alias("w")).first()
+    size = float(total if total is not None else whole.n or 0)
+    mean = F.lit(size) * F.col("w") / F.lit(whole.w) / F.col("n") if whole.w else F.lit(0.0)
+    return sums.select("source", "n", mean.alias("mean"))
 
 
 def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, temperature: float = 0.5, total: int | None = None, seed: int = 17) -> DataFrame:
