@@ -5,16 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow import functions as fn
 from tarnflow.flow import Engine, Flow
-from tarnflow.operators import combine, joins, ordering, stateful, transforms
+from tarnflow.operators import joins, ordering
 from tarnflow.operators import windows as win
 from tarnflow.plans import graphs, iteration, nexmark
-from tarnflow.sources import readers, writers
 from tarnflow.storage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,6 +164,13 @@ def parquet_round_trip(spark, sf_dir):
     return Engine(spark).parquet(path).df
 
 
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def avro_round_trip(spark, sf_dir):
+    path = _scratch(spark, "avro").removeprefix("file:")
+    flow(spark, sf_dir, "supplier").map(s_suppkey="s_suppkey", s_name="s_name", s_acctbal="s_acctbal").write_avro(path)
+    return Engine(spark).avro(path).df
+
+
 @query("SELECT s_name AS value FROM supplier")
 def text_round_trip(spark, sf_dir):
     path = _scratch(spark, "text")
@@ -627,9 +632,6 @@ def replay(spark, sf_dir):
     return spark.createDataFrame([(state,)], "state long")
 
 
-_CC = f"WITH RECURSIVE {EDGES}, b AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), r(node, seen) AS (SELECT src, src FROM b UNION SELECT r.node, b.dst FROM r JOIN b ON r.seen = b.src)"
-
-
 def small_edges(spark, sf_dir) -> DataFrame:
     """Each order with its customer's nation and the next order's, as a graph of many small components."""
     return flow(spark, sf_dir, "orders").df.select((F.col("o_custkey") % 997).alias("src"), (F.floor((F.col("o_custkey") % 997) / 3) * 3).cast("long").alias("dst")).distinct()
@@ -793,6 +795,3 @@ def nexmark_q7(spark, sf_dir):
 def nexmark_q8(spark, sf_dir):
     people, auctions, _ = _auction(spark, sf_dir)
     return nexmark.q8(people, auctions, 100 * DAY)
-
-
-__all__ = ["ORACLE_SQL", "QUERIES", "combine", "pd", "readers", "stateful", "transforms", "writers"]

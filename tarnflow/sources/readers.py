@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import queue
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -164,6 +163,3 @@ def from_json(df: DataFrame, column: str, schema: str, name: str) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
-
-
-__all__ = [k for k in dir() if not k.startswith("_") and k not in ("json",)]
