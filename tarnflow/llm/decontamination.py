@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.storage import cut
+from tarnflow.llm.storage import bound_batches, cut
 from tarnflow.llm.textbytes import ALNUM, U64, Lookup, Words, pieces, sliding_min, text_bytes
 
 _WINDOWS = "item string, m int, fp long, h long"
@@ -160,6 +160,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     Up to ``max_index_rows`` item windows (about 60 bytes each) are sent to every executor and looked
     up while the texts stream by. Beyond, fingerprints of both sides are joined by a shuffle.
     """
+    bound_batches(docs.sparkSession)
     if not 1 <= kgram <= ngram:
         raise ValueError("kgram must be between 1 and ngram")
     spark = docs.sparkSession

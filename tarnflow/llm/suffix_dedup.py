@@ -65,7 +65,7 @@ def segments(raw: np.ndarray, offs: np.ndarray, least: int, gram: int) -> tuple[
 
 def _segment_rows(least: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 1 << 19):
             raw, offs = text_bytes(batch.column("text"))
             doc, start, n, *hashes = segments(raw, offs, least, gram)
             yield pa.RecordBatch.from_arrays(

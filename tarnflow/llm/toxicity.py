@@ -172,7 +172,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: st
 
 def _features(lexicons: list[Lexicon]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 1 << 19):
             parts = batch.column("part").to_numpy()
             for k in np.unique(parts).tolist():
                 own = batch.filter(pa.array(parts == k))
@@ -223,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 def _score(sent, row_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 1 << 19):
             yield pa.RecordBatch.from_arrays([batch.column("row").cast(row_type), batch.column("text").cast(pa.string()), pa.array(model.score(batch.column("text")))], ["row", "text", "score"])
 
     return run
