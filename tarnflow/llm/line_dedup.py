@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from tarnflow.llm.jaccard_join import jaccard_components
 from tarnflow.llm.storage import cut
 from tarnflow.llm.textbytes import NOT_SPACE, U64, Lookup, byte_prefix, pieces, text_bytes
 
@@ -68,27 +69,81 @@ def spread_lines(docs: DataFrame, *, text: str = "text", site: str = "source", m
     return cut(sure.union(exact), "spread-lines")
 
 
-def _remove(lookup_of, max_share: float, row_type: pa.DataType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sent(lookup_of):
+    """Batches with their lines and those to drop, which are on a list sent to the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
         lookup = lookup_of()
         for batch in pieces(batches, "text"):
-            column = batch.column("text")
-            raw, offs = text_bytes(column)
+            raw, offs = text_bytes(batch.column("text"))
             lines = Lines(raw, offs)
             drop = np.zeros(len(lines.doc), bool)
             drop[lookup.find(lines.hash)[0]] = True
             drop &= lines.size > 0
-            yield _without(batch, raw, offs, lines, drop, max_share, row_type)
+            yield batch, raw, offs, lines, drop
 
     return run
 
 
-def _without(batch: pa.RecordBatch, raw, offs, lines: Lines, drop: np.ndarray, max_share: float, row_type: pa.DataType) -> pa.RecordBatch:
+def _listed(batches: Iterator[pa.RecordBatch]):
+    """The same where the numbers of the lines to drop are in the column ``own``."""
+    for batch in pieces(batches, "text"):
+        raw, offs = text_bytes(batch.column("text"))
+        lines = Lines(raw, offs)
+        first = np.concatenate(([0], np.cumsum(lines.n)))
+        drop = np.zeros(len(lines.doc), bool)
+        for row, own in enumerate(batch.column("own").to_pylist()):
+            drop[first[row] + np.asarray(own or [], np.int64)] = True
+        yield batch, raw, offs, lines, drop
+
+
+def _over_share(lines: Lines, drop: np.ndarray, n: int, max_share: float) -> np.ndarray:
+    """Which of ``n`` texts have more than ``max_share`` of their bytes in lines to drop."""
+    return np.bincount(lines.doc, lines.size * drop, n) > max_share * np.bincount(lines.doc, lines.size, n)
+
+
+def _over(marked, max_share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, _, lines, drop in marked(batches):
+            at = pa.array(np.flatnonzero(_over_share(lines, drop, batch.num_rows, max_share)))
+            yield pa.RecordBatch.from_arrays([batch.column("h").take(at), batch.column("text").take(at).cast(pa.string())], ["h", "text"])
+
+    return run
+
+
+def _remove(marked, copies_of, max_share: float, row_type: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        copies = copies_of()
+        for batch, raw, offs, lines, drop in marked(batches):
+            exempt = _over_share(lines, drop, batch.num_rows, max_share)
+            if copies is not None:
+                exempt &= copies(batch)
+            yield _without(batch, raw, lines, drop & ~exempt[lines.doc], row_type)
+
+    return run
+
+
+def _in_sent(sent):
+    def of():
+        lookup = Lookup(sent.value)
+
+        def mask(batch: pa.RecordBatch) -> np.ndarray:
+            found = np.zeros(batch.num_rows, bool)
+            found[lookup.find(batch.column("h").to_numpy().view(U64))[0]] = True
+            return found
+
+        return mask
+
+    return of
+
+
+def _in_column():
+    return lambda batch: np.asarray(batch.column("copy").fill_null(False).to_numpy(zero_copy_only=False), bool)
+
+
+def _without(batch: pa.RecordBatch, raw, lines: Lines, drop: np.ndarray, row_type: pa.DataType) -> pa.RecordBatch:
     """The batch with the lines of ``drop`` taken out of its texts."""
-    n = batch.num_rows
-    gone = np.bincount(lines.doc, lines.size * drop, n)
-    drop &= (gone <= max_share * np.bincount(lines.doc, lines.size, n))[lines.doc]
-    removed = np.bincount(lines.doc[drop], minlength=n)
+    removed = np.bincount(lines.doc[drop], minlength=batch.num_rows)
     column = batch.column("text")
     texts = column.to_pylist() if removed.any() else None
     if texts is not None:
@@ -109,31 +164,32 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(lines.doc[at])), pa.array(at - first[lines.doc[at]]), pa.array(lines.hash[at].view(np.int64))], ["key", "i", "h"])
 
 
-def _remove_listed(max_share: float, row_type: pa.DataType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            raw, offs = text_bytes(batch.column("text"))
-            lines = Lines(raw, offs)
-            first = np.concatenate(([0], np.cumsum(lines.n)))
-            drop = np.zeros(len(lines.doc), bool)
-            for row, own in enumerate(batch.column("own").to_pylist()):
-                drop[first[row] + np.asarray(own or [], np.int64)] = True
-            yield _without(batch, raw, offs, lines, drop, max_share, row_type)
-
-    return run
+def _copies(over: DataFrame, words_each: int, similarity: tuple[int, int]) -> DataFrame:
+    """Hashes ``h`` of those texts that another row has too, or that are near duplicates of another one."""
+    texts = cut(over.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.first("text").alias("text")), "over-texts")
+    if texts.isEmpty():
+        return texts.select("h")
+    linked = jaccard_components(texts, doc_id="h", words_each=words_each, threshold=similarity).where("id <> component")
+    linked = cut(linked.select(F.explode(F.array("id", "component")).alias("h")), "near-copies")
+    return cut(texts.where("n > 1").select("h").union(linked).distinct(), "copies")
 
 
-def remove_spread_lines(docs: DataFrame, *, text: str = "text", site: str = "source", min_sites: int = 10, max_share: float = 0.5, lg_k: int = 12, max_sent_lines: int = 4_000_000) -> DataFrame:
+def remove_spread_lines(
+    docs: DataFrame, *, text: str = "text", site: str = "source", min_sites: int = 10, max_share: float = 0.5, lg_k: int = 12, max_sent_lines: int = 4_000_000, similarity: tuple[int, int] | None = None, words_each: int = 5
+) -> DataFrame:
     """Each document as ``row`` (struct of its other columns), ``text`` without cross-site lines, ``n_lines``, ``n_removed``.
 
     A line is what stands between line feeds; white space at its ends doesn't count when lines are
-    compared. A document of which such lines hold more than ``max_share`` of the bytes is a copy rather
-    than a page with boilerplate: it stays as it is, for a near-duplicate operator to judge. Null text
+    compared. A document of which such lines hold more than ``max_share`` of the bytes may be a copy rather
+    than a page with boilerplate. With ``similarity`` it stays as it is, for a near-duplicate operator to
+    judge, only if it is shown to be one: another row has the same text, or runs of ``words_each`` words
+    link it (as in ``jaccard_components`` at ``similarity``) to another document over that share. Without
+    ``similarity`` every document over the share stays as it is. Null text
     stays null and counts as one blank line; rows with a null site add no site but lose lines too;
     repeated rows each give a row; empty tables give none. Other columns are only carried.
 
-    Up to ``max_sent_lines`` hashes of such lines (8 bytes each) are sent to every executor. Beyond,
-    they are joined to the lines of the texts by a shuffle.
+    Up to ``max_sent_lines`` hashes of such lines, and of copies (8 bytes each), are sent to every executor.
+    Beyond, they are joined to the lines of the texts, or to the texts, by a shuffle.
     """
     spark = docs.sparkSession
     spread = spread_lines(docs, text=text, site=site, min_sites=min_sites, lg_k=lg_k)
@@ -141,18 +197,33 @@ def remove_spread_lines(docs: DataFrame, *, text: str = "text", site: str = "sou
     packed = docs.select(F.struct(*others).alias("row"), F.col(text).cast("string").alias("text"))
     schema = StructType([packed.schema["row"], StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_removed", LongType())])
     row_type = packed.select("row").limit(0).toArrow().schema.field("row").type
+    packed = packed.withColumn("h", F.xxhash64("text"))
     head = spread.limit(max_sent_lines + 1).toArrow()
     if head.num_rows <= max_sent_lines:
         sent = spark.sparkContext.broadcast(head["h"].to_numpy().view(U64))
-        return packed.mapInArrow(_remove(lambda: Lookup(sent.value), max_share, row_type), schema)
-    keyed = packed.withColumn("key", F.sha2("text", 256))
-    rows = keyed.where("text is not null").groupBy("key").agg(F.first("text").alias("text")).mapInArrow(_line_rows, "key string, i long, h long")
-    own = rows.join(spread, "h", "left_semi").groupBy("key").agg(F.collect_set("i").alias("own"))
-    return keyed.join(own, "key", "left").select("row", "text", "own").mapInArrow(_remove_listed(max_share, row_type), schema)
+        marked = _sent(lambda: Lookup(sent.value))
+    else:
+        keyed = packed.withColumn("key", F.sha2("text", 256))
+        rows = keyed.where("text is not null").groupBy("key").agg(F.first("text").alias("text")).mapInArrow(_line_rows, "key string, i long, h long")
+        own = rows.join(spread, "h", "left_semi").groupBy("key").agg(F.collect_set("i").alias("own"))
+        packed, marked = keyed.join(own, "key", "left").select("row", "text", "h", "own"), _listed
+    copies_of = lambda: None
+    if similarity:
+        copies = _copies(packed.drop("row").mapInArrow(_over(marked, max_share), "h long, text string"), words_each, similarity)
+        found = copies.limit(max_sent_lines + 1).toArrow()
+        if found.num_rows <= max_sent_lines:
+            copies_of = _in_sent(spark.sparkContext.broadcast(found["h"].to_numpy().view(U64)))
+        else:
+            packed, copies_of = packed.join(copies.withColumn("copy", F.lit(True)), "h", "left"), _in_column
+    return packed.mapInArrow(_remove(marked, copies_of, max_share, row_type), schema)
+
+
+#: Near duplicates by runs of five words, as the pipeline's next stage joins them.
+COPY_SIMILARITY = (80, 100)
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
-    out = remove_spread_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = remove_spread_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), similarity=COPY_SIMILARITY)
     return out.select("row.doc_id", "n_lines", "n_removed", "text")
 
 

@@ -26,8 +26,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cross-site lines go; ``n_chars`` follows the text. No document goes."""
-    out = lines.remove_spread_lines(docs)
+    """Cross-site lines go, but from copies that ``ngram_jaccard`` joins; ``n_chars`` follows the text. No document goes."""
+    out = lines.remove_spread_lines(docs, similarity=SIMILARITY, words_each=WORDS_EACH)
     changed = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
     return _columns(out, docs.columns, **changed)
 

@@ -310,6 +310,19 @@ def test_spread_lines(spark, limit):
     assert line_dedup.remove_spread_lines(empty(df)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [4_000_000, 0])
+def test_spread_lines_of_copies(spark, limit):
+    """Over the share only copies keep their text; pages that are mostly boilerplate lose it."""
+    menu = "a menu line that stands on every site"
+    page = " ".join(f"word{k}" for k in range(60))
+    rows = [(k, f"{menu}\nown {k}", f"s{k}") for k in range(6)]
+    rows += [(k, page, f"s{k % 5}") for k in range(10, 15)] + [(20, f"{page}\nand one more", "s1"), (21, f"{menu}\n{menu}\nshort", "s2"), (22, None, "s3")]
+    out = line_dedup.remove_spread_lines(docs_frame(spark, rows), min_sites=4, max_sent_lines=limit, similarity=(80, 100))
+    got = {r.row.doc_id: (r.text, r.n_lines, r.n_removed) for r in out.collect()}
+    expected = {k: (f"own {k}", 2, 1) for k in range(6)} | {k: (page, 1, 0) for k in range(10, 15)}
+    assert got == expected | {20: (f"{page}\nand one more", 2, 0), 21: ("short", 3, 2), 22: (None, 1, 0)}
+
+
 def test_mixing(spark):
     rows = [(k, "t", "big" if k % 3 else f"small{k % 5}") for k in range(3000)] + [(5, "t", "big"), (None, None, None), (9999, "", None)]
     df = docs_frame(spark, rows).withColumn("copy", F.lit("clash"))
