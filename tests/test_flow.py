@@ -203,6 +203,19 @@ def test_sieve_by_iteration(engine):
     assert vals(out, "value") == [p for p in range(2, 100) if all(p % q for q in range(2, p))]
 
 
+def test_components_of_a_long_path(spark):
+    """Ids in random order along a path, a lone node and a null end; and an error where the rounds are too few."""
+    import random
+
+    ids = list(range(10, 1010))
+    random.Random(3).shuffle(ids)
+    path = spark.createDataFrame([*zip(ids, ids[1:]), (5, 5), (6, None)], "src long, dst long")
+    got = {r.node: r.component for r in graphs.connected_components(path).collect()}
+    assert got == {k: 10 for k in ids} | {5: 5, 6: 6}
+    with pytest.raises(RuntimeError):
+        graphs.connected_components(path, rounds=2)
+
+
 def test_graphs(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "src long, dst long")
     labels = {r.node: r.component for r in graphs.connected_components(path).collect()}
