@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnflow import functions as fn
@@ -633,7 +633,7 @@ def replay(spark, sf_dir):
 
 
 def small_edges(spark, sf_dir) -> DataFrame:
-    """Each order with its customer's nation and the next order's, as a graph of many small components."""
+    """Customer ids folded to 997, each with the least of its three: a graph of components of at most three nodes, small enough for recursive SQL."""
     return flow(spark, sf_dir, "orders").df.select((F.col("o_custkey") % 997).alias("src"), (F.floor((F.col("o_custkey") % 997) / 3) * 3).cast("long").alias("dst")).distinct()
 
 
@@ -657,6 +657,34 @@ def triangles(spark, sf_dir):
     return graphs.triangles(g)
 
 
+# The graph operators on whole tables. SQL stands beside those that it can follow.
+
+
+def all_edges(spark, sf_dir) -> DataFrame:
+    """Every part with every supplier that a line item has it from, with disjoint ids."""
+    return flow(spark, sf_dir, "lineitem").df.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 100_000_000).alias("dst")).distinct()
+
+
+@query()
+def connected_components_whole(spark, sf_dir):
+    return graphs.connected_components(all_edges(spark, sf_dir))
+
+
+@query("WITH RECURSIVE g AS (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders), r(src, dst) AS (SELECT src, dst FROM g WHERE dst IS NOT NULL UNION SELECT r.src, g.dst FROM r JOIN g ON r.dst = g.src WHERE g.dst IS NOT NULL) SELECT src, dst FROM r")
+def transitive_closure_whole(spark, sf_dir):
+    """Each order with all later ones of its customer, from edges to the next one."""
+    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    g = flow(spark, sf_dir, "orders").df.select(F.col("o_orderkey").alias("src"), F.lead("o_orderkey").over(by).alias("dst"))
+    return graphs.transitive_closure(g.where("dst is not null"))
+
+
+@query("WITH e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 100000000 AS b FROM lineitem UNION SELECT l_partkey, l_orderkey + 200000000 FROM lineitem UNION SELECT l_suppkey + 100000000, l_orderkey + 200000000 FROM lineitem) SELECT count(*) AS triangles FROM e x JOIN e y ON x.a = y.a AND x.b < y.b JOIN e z ON z.a = x.b AND z.b = y.b")
+def triangles_whole(spark, sf_dir):
+    """Among parts, suppliers and orders, linked where a line item has both."""
+    items = flow(spark, sf_dir, "lineitem").df.select(F.col("l_partkey").alias("p"), (F.col("l_suppkey") + 100_000_000).alias("s"), (F.col("l_orderkey") + 200_000_000).alias("o"))
+    return graphs.triangles(items.select(F.col("p").alias("src"), F.col("s").alias("dst")).union(items.select("p", "o")).union(items.select("s", "o")))
+
+
 @query(
     f"""WITH RECURSIVE {EDGES}, d AS (SELECT src, count(*) AS degree FROM g GROUP BY src),
 n AS (SELECT src AS node FROM g UNION SELECT dst FROM g), k AS (SELECT count(*) AS k FROM n),

@@ -53,3 +53,20 @@ def test_kmeans_matches_lloyd(spark):
         c = np.array([x[near == k].mean(0) if (near == k).any() else c[k] for k in range(10)])
     got = catalog.QUERIES["kmeans"](spark, SF).orderBy("cluster").toPandas()
     assert np.allclose(np.array(got.centroid.tolist()), c, atol=1e-5)
+
+
+def test_components_of_the_whole_graph(spark, duck):
+    pairs = duck.execute("SELECT DISTINCT l_partkey, l_suppkey + 100000000 FROM lineitem").fetchall()
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {r.node: r.component for r in catalog.QUERIES["connected_components_whole"](spark, SF).collect()}
+    assert got == {x: find(x) for x in root} and duck.execute("SELECT count(DISTINCT l_partkey) + count(DISTINCT l_suppkey) FROM lineitem").fetchone()[0] == len(got)
