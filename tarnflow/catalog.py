@@ -697,6 +697,13 @@ def pagerank(spark, sf_dir):
     return graphs.pagerank(edges(spark, sf_dir), rounds=2).select("node", F.round(F.col("rank") * 1e6, 3).alias("rank"))
 
 
+@query()
+def pagerank_whole(spark, sf_dir):
+    """Parts and suppliers of all line items, with an edge each way."""
+    g = all_edges(spark, sf_dir)
+    return graphs.pagerank(g.union(g.select("dst", "src"))).select("node", F.round(F.col("rank") * 1e6, 3).alias("rank"))
+
+
 @query("SELECT range AS node, range % 4 AS best FROM range(0, 40)")
 def delta_iterate(spark, sf_dir):
     """Least numbers reachable by steps of four, from a solution set that deltas lower."""
@@ -734,6 +741,12 @@ def wordcount_windowed(spark, sf_dir):
     return Flow(words).to_keyed("word").window(win.CountWindow.sliding(10, 5), ["item_id", "i"]).fold(n="count(*)").df
 
 
+@query("WITH w AS (SELECT doc_id, regexp_split_to_array(lower(text), '\\s+') AS ws FROM documents), r AS (SELECT doc_id, ws[i] AS word, i FROM w, unnest(range(1, len(ws) + 1)) AS u(i)), n AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY doc_id, i) - 1 AS rn FROM r WHERE word <> ''), s AS (SELECT n.*, win FROM n, unnest(range(greatest(0, ceil((rn - 9) / 5.0)::BIGINT), rn // 5 + 1)) AS u(win)) SELECT word, win, count(*) AS n FROM s GROUP BY word, win HAVING count(*) = 10")
+def wordcount_windowed_whole(spark, sf_dir):
+    words = flow(spark, sf_dir, "documents").df.select("doc_id", F.posexplode(fn.tokens("text")).alias("i", "word"))
+    return Flow(words).to_keyed("word").window(win.CountWindow.sliding(10, 5), ["doc_id", "i"]).fold(n="count(*)").df
+
+
 @query(f"WITH {EVENTS}, c AS (SELECT ts // {DAY} * {DAY} AS win, event_type, count(*) AS n FROM e GROUP BY ALL) SELECT win, event_type, n, row_number() OVER (PARTITION BY win ORDER BY n DESC, event_type)::INT AS place FROM c QUALIFY place <= 3")
 def rolling_top_words(spark, sf_dir):
     counts = events(spark, sf_dir).to_keyed("event_type").window(win.EventTimeWindow.tumbling(DAY, align="epoch")).fold(n="count(*)").df

@@ -70,3 +70,17 @@ def test_components_of_the_whole_graph(spark, duck):
         root[b] = a
     got = {r.node: r.component for r in catalog.QUERIES["connected_components_whole"](spark, SF).collect()}
     assert got == {x: find(x) for x in root} and duck.execute("SELECT count(DISTINCT l_partkey) + count(DISTINCT l_suppkey) FROM lineitem").fetchone()[0] == len(got)
+
+
+def test_pagerank_of_the_whole_graph(spark, duck):
+    import numpy as np
+
+    pairs = np.array(duck.execute("SELECT DISTINCT l_partkey, l_suppkey + 100000000 FROM lineitem").fetchall())
+    nodes, at = np.unique(pairs, return_inverse=True)
+    a, b = at.reshape(pairs.shape).T
+    src, dst = np.concatenate((a, b)), np.concatenate((b, a))
+    degree, rank = np.bincount(src), np.full(len(nodes), 1 / len(nodes))
+    for _ in range(10):
+        rank = 0.15 / len(nodes) + 0.85 * np.bincount(dst, rank[src] / degree[src], len(nodes))
+    got = {r.node: r.rank for r in catalog.QUERIES["pagerank_whole"](spark, SF).collect()}
+    assert set(got) == set(nodes.tolist()) and np.allclose([got[k] for k in nodes.tolist()], rank * 1e6, atol=2e-3)
