@@ -2,8 +2,8 @@
 
 The standard library's streaming parser turns a page into lines, one for each stretch of text between
 block tags. A line's score is its characters over its tags. Smoothed scores above a threshold mark
-clusters of content; the region with the most of them (an article or main element if there is one) is the
-text, with every line inside it. Menus, adverts, comments and the like are recognised by element, role
+clusters of content; the regions with the most of them (or the articles, or the main element with its articles,
+where these hold most of it) are the text, with every line inside. Menus, adverts, comments and the like are recognised by element, role
 or name and never count as content.
 """
 
@@ -177,11 +177,11 @@ def main_text(html: str | None, sigma: float = 1.0, strength: float = 0.5) -> st
     if not content.any():
         return ""
     mass = np.where(content, chars, 0)
-    if (article[content] > 0).any():
-        by = np.bincount(article, mass)
-        inside = [page.kinds.get(k) == "article" for k in range(len(by))]
-        by[~np.array(inside) if by[inside].any() else 0] = 0  # an article within a main element is the closer one
-        chosen = ~noise & (by[article] >= 0.5 * by.max()) & (article > 0)
+    inside = np.array([page.kinds.get(k) == "article" for k in article])
+    if mass[inside].sum() > 0.5 * mass.sum():  # an article within a main element is the closer one
+        chosen = ~noise & inside
+    elif mass[article > 0].sum() > 0.5 * mass.sum():
+        chosen = ~noise & (article > 0)
     else:
         # Regions that hold a good part of the mass of the best one, and what stands between their first and last content line.
         by = np.bincount(region, mass)

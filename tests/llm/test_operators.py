@@ -91,6 +91,16 @@ def test_html_main_text():
     assert html_extraction.main_text(bare) == "Head\nThe first paragraph has enough words to be content.\nx\ny\nAnd the second paragraph has enough words too.\nEnd."
 
 
+def test_html_articles_that_are_not_the_whole_text():
+    long = "<p>The main text of this page stands here, in many words, and goes on for a good while.</p>" * 4
+    text = "\n".join(["The main text of this page stands here, in many words, and goes on for a good while."] * 4)
+    card = "<article><p>A card of a few words.</p></article>"
+    assert html_extraction.main_text(f"<body><div>{long}</div>{card}</body>").startswith(text)
+    assert html_extraction.main_text(f"<main>{card}{long}</main>") == f"A card of a few words.\n{text}"
+    parts = f"<body><article>{long}</article><article><p>A second article, shorter than the first.</p></article></body>"
+    assert html_extraction.main_text(parts) == f"{text}\nA second article, shorter than the first."
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>", "t"), (1, "u", "<p>a</p>", "t"), (2, None, None, None), (None, "u", "", "t")], "page_id long, url string, html string, text string")
     got = sorted((r.row.page_id or 0, r.row.text or "", r.text) for r in html_extraction.extract_main_text(df).collect())
