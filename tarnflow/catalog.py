@@ -307,6 +307,56 @@ def join_anti(spark, sf_dir):
     return c.join(o, ("ck", "ok"), how="left_anti").df
 
 
+# The same joins of all rows: keys without a match are made by their expression.
+
+
+def _whole_sides(spark, sf_dir) -> tuple[Flow, Flow]:
+    """All customers and orders, with null keys and keys that the other side lacks."""
+    c = flow(spark, sf_dir, "customer").map(ck=_CK, c="c_custkey")
+    o = flow(spark, sf_dir, "orders").map(ok=_OK, o="o_orderkey")
+    return c, o
+
+
+_CK = "CASE WHEN c_custkey % 100 = 1 THEN NULL WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END"
+_OK = "CASE WHEN o_orderkey % 500 = 1 THEN NULL WHEN o_custkey % 5 = 0 THEN -1000000000 - o_custkey ELSE o_custkey END"
+WHOLE_SIDES = f"c AS (SELECT {_CK} AS ck, c_custkey AS c FROM customer), o AS (SELECT {_OK} AS ok, o_orderkey AS o FROM orders)"
+
+
+def _join_whole(key: str, how: str, strategy: str | None) -> None:
+    def run(spark, sf_dir):
+        c, o = _whole_sides(spark, sf_dir)
+        return c.join(o, ("ck", "ok"), how=how, strategy=strategy).df.select("k0", "c", "r_o")
+
+    query(_JOINED.format(sides=WHOLE_SIDES, how=how.upper()), key)(run)
+
+
+for _how in ("inner", "left", "right", "full"):
+    _join_whole(f"join_{_how}_whole", _how, None)
+for _how in ("inner", "left", "full"):
+    _join_whole(f"join_{_how}_hash_whole", _how, "hash")
+    _join_whole(f"join_{_how}_sort_merge_whole", _how, "sort_merge")
+for _how in ("inner", "left"):
+    _join_whole(f"join_{_how}_broadcast_whole", _how, "broadcast_right")
+
+
+@query(f"WITH {WHOLE_SIDES} SELECT ck, c FROM c WHERE EXISTS (SELECT 1 FROM o WHERE ck IS NOT DISTINCT FROM ok)")
+def join_semi_whole(spark, sf_dir):
+    c, o = _whole_sides(spark, sf_dir)
+    return c.join(o, ("ck", "ok"), how="left_semi").df
+
+
+@query(f"WITH {WHOLE_SIDES} SELECT ck, c FROM c WHERE NOT EXISTS (SELECT 1 FROM o WHERE ck IS NOT DISTINCT FROM ok)")
+def join_anti_whole(spark, sf_dir):
+    c, o = _whole_sides(spark, sf_dir)
+    return c.join(o, ("ck", "ok"), how="left_anti").df
+
+
+@query(f"WITH {WHOLE_SIDES} SELECT coalesce(ck, ok) AS k0, c, o AS r_o FROM c FULL JOIN o ON ck IS NOT DISTINCT FROM ok")
+def keyed_join_outer_whole(spark, sf_dir):
+    c, o = _whole_sides(spark, sf_dir)
+    return c.to_keyed("ck").join_outer(o.to_keyed("ok")).df.select("k0", "c", "r_o")
+
+
 @query("SELECT c.c_custkey AS k0, c_acctbal, o_orderkey AS r_o_orderkey FROM customer c JOIN orders ON c.c_custkey = o_custkey")
 def keyed_join(spark, sf_dir):
     c = Flow(flow(spark, sf_dir, "customer").df.select("c_custkey", "c_acctbal")).to_keyed("c_custkey")
