@@ -291,6 +291,14 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_chats(empty(df))).count() == 0
 
 
+def test_ids_of_long_texts_are_those_of_the_whole():
+    enc = chat.tokenizer(chat.VOCABULARY)
+    rng = np.random.default_rng(4)
+    unbroken = "".join(rng.choice(list("abcdefgh0123.,"), 50_000))
+    for text in ("word " * 9_000, f"{'x' * 19_990}{' ' * 30}y" * 3, f"{'a  b\n\n c' * 5_000}", unbroken, f"{'x' * 19_999} {'\u3000' * 9}z {unbroken}"):
+        assert chat.encode(enc, text) == enc.encode_ordinary(text)
+
+
 @pytest.mark.parametrize("limit", [4_000_000, 0])
 def test_spread_lines(spark, limit):
     rows = [(k, f"Menu\n  Home \nOwn line number {k} with a good deal of text of its own\r\n\nline{k % 3}\n", f"s{k % 7}") for k in range(40)]
