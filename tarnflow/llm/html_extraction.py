@@ -1,10 +1,12 @@
 """Main text of web pages: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 The standard library's streaming parser turns a page into lines, one for each stretch of text between
-block tags. A line's score is its characters over its tags. Smoothed scores above a threshold mark
-clusters of content; the regions with the most of them (or the articles, or the main element with its articles,
-where these hold most of it) are the text, with every line inside. Menus, adverts, comments and the like are recognised by element, role
-or name and never count as content.
+block tags. A line's score is its characters over its tags, times the weight of the evidence around it: elements
+for articles raise it, and names of adverts, comments, menus and the like lower it. Smoothed scores above a
+threshold mark clusters of content. The summed scores of the clusters choose the region: the articles, the main element, or
+the regions that hold most of them. In it every line stays but those whose names speak against them and whose
+score doesn't outweigh that. Only what can't be text of the page at all (scripts, styles, forms, navigation
+elements, hidden parts) scores nothing.
 """
 
 from __future__ import annotations
@@ -39,9 +41,35 @@ _KEEP = {"html", "body", "main", "article"}
 #: Whole class names that make even an article noise.
 _NOT_ARTICLE = {"ad", "advert", "advertisement", "comment", "comments", "comment-item", "comment-body", "promo", "related", "reply", "sponsored", "teaser"}
 _REGIONS = {"article", "main", "section", "div", "td", "body"}
+#: Parts of names that speak for content: beside them a name of ``_NOISE_NAMES`` is no more than a hint.
+_TEXT_NAMES = {"article", "articles", "blog", "body", "content", "entry", "main", "page", "post", "story", "text"}
+#: Names that nothing speaks for.
+_SURE_NAMES = {"comment", "comments", "commentlist", "disqus", "respond", "reply", "replies", "discussion", "cookie", "cookies", "consent", "gdpr", "hidden"}
+#: Weights: a name of ``_NOISE_NAMES``, such a name with one of ``_TEXT_NAMES``, lines of a main element and of an article.
+_NAMED, _HINTED, _MAIN, _ARTICLE = 0.02, 0.3, 1.5, 2.0
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
+def _weigh(tag: str, attrs: list[tuple[str, str | None]]) -> float:
+    """Weight of the lines in an element by its names; 0 where its kind or attributes rule out text of the page."""
+    if _is_noise(tag, attrs):
+        return 0.0
+    weight = 1.0
+    for name, value in attrs:
+        if name not in ("class", "id") or not value:
+            continue
+        if tag == "article":
+            if name == "class" and not _NOT_ARTICLE.isdisjoint(value.lower().split()):
+                return _NAMED
+        elif tag not in _KEEP:
+            for whole in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
+                parts = {x.rstrip("0123456789") for x in _SPLIT.split(whole)}
+                if not _NOISE_NAMES.isdisjoint(parts):
+                    sure = _TEXT_NAMES.isdisjoint(parts) or not _SURE_NAMES.isdisjoint(parts)
+                    weight = min(weight, _NAMED if sure else _HINTED)
+    return weight
+
+
 def _is_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     if tag in _NOISE:
         return True
@@ -59,25 +87,18 @@ def _is_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         elif name == "style":
             if "display:none" in value.replace(" ", "").lower():
                 return True
-        elif name == "class" and tag == "article":
-            if not _NOT_ARTICLE.isdisjoint(value.lower().split()):
-                return True
-        elif name in ("class", "id") and tag not in _KEEP:
-            spaced = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
-            if not _NOISE_NAMES.isdisjoint(x.rstrip("0123456789") for x in _SPLIT.split(spaced)):
-                return True
     return False
 
 
 class Lines(HTMLParser):
-    """Lines of a page: ``text``, ``tags`` before and in it, ``noise``, ``region`` and ``article`` numbers (0: none)."""
+    """Lines of a page: ``text``, ``tags`` before and in it, ``weight``, ``region`` and ``article`` numbers (0: none)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int, int]] = []
+        self.lines: list[tuple[str, int, float, int, int]] = []
         self.parts: list[str] = []
         self.tags = 0
-        self.open: list[tuple[str, bool, int, int]] = []  # tag, noise, region, article
+        self.open: list[tuple[str, float, int, int]] = []  # tag, weight, region, article
         self.count = 0
         self.kinds: dict[int, str] = {}
 
@@ -86,12 +107,13 @@ class Lines(HTMLParser):
             text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
-                _, noise, region, article = self.open[-1] if self.open else ("", False, 0, 0)
-                self.lines.append((text, self.tags, noise, region, article))
+                _, weight, region, article = self.open[-1] if self.open else ("", 1.0, 0, 0)
+                self.lines.append((text, self.tags, weight, region, article))
                 self.tags = 0
 
     def _close(self, at: int) -> None:
-        if any(tag in _BLOCK or noise for tag, noise, _, _ in self.open[at:]):
+        around = self.open[at - 1][1] if at else 1.0
+        if any(tag in _BLOCK or weight < around for tag, weight, _, _ in self.open[at:]):
             self.flush()
         del self.open[at:]
 
@@ -117,14 +139,17 @@ class Lines(HTMLParser):
                     break
                 if self.open[at][0] in _SCOPES[tag]:
                     break
-        _, noise, region, article = self.open[-1] if self.open else ("", False, 0, 0)
-        inner = noise or _is_noise(tag, attrs)
-        if tag in _BLOCK or inner != noise:
+        _, weight, region, article = self.open[-1] if self.open else ("", 1.0, 0, 0)
+        own = _weigh(tag, attrs)
+        if tag in _BLOCK or own == 0 or own == _NAMED:
             self.flush()
-        if tag in _REGIONS and not inner:
+        elif own < 1:  # a hint about words within a line
+            own = 1.0
+        inner = min(weight, weight * own) if own else 0.0
+        if tag in _REGIONS and inner:
             self.count += 1
             region = self.count
-            if tag in ("article", "main") and self.kinds.get(article) != "article" and (tag == "article" or not article):
+            if tag in ("article", "main") and own == 1 and self.kinds.get(article) != "article" and (tag == "article" or not article):
                 article = self.count
                 self.kinds[article] = tag
         self.open.append((tag, inner, region, article))
@@ -157,7 +182,38 @@ def smooth(scores: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(scores, kernel)[reach : reach + len(scores)] / whole
 
 
-def main_text(html: str | None, sigma: float = 1.0, strength: float = 0.5) -> str:
+def line_scores(page: Lines, sigma: float) -> np.ndarray:
+    """Smoothed text-to-tag ratios of the lines, weighted by what stands around them."""
+    raised = {"main": _MAIN, "article": _ARTICLE}
+    weight = np.array([x[2] * raised.get(page.kinds.get(x[4], ""), 1.0) for x in page.lines])
+    scores = weight * [len(x[0]) / max(1, x[1]) for x in page.lines]
+    return np.where(weight > 0, smooth(scores, sigma) * np.minimum(1, weight), 0.0)
+
+
+def choose_lines(page: Lines, scores: np.ndarray, strength: float) -> np.ndarray:
+    """Places of the lines of the content region, by their scores."""
+    weight = np.array([x[2] for x in page.lines])
+    region, article = (np.array([x[k] for x in page.lines]) for k in (3, 4))
+    content = (scores > 0) & (scores >= strength * scores.std())
+    mass = np.where(content, scores * [len(x[0]) for x in page.lines], 0)
+    if not mass.any():
+        return np.zeros(0, int)
+    stays = (weight == 1) | content
+    inside = np.array([page.kinds.get(k) == "article" for k in article])
+    if mass[inside].sum() > 0.5 * mass.sum():  # an article within a main element is the closer one
+        stays &= inside
+    elif mass[article > 0].sum() > 0.5 * mass.sum():
+        stays &= article > 0
+    else:
+        # Regions that hold a good part of the mass of the best one, and what stands between their first and last content line.
+        by = np.bincount(region, mass)
+        at = np.flatnonzero(content & (by[region] >= 0.2 * by.max()))
+        stays[: at[0]] &= region[: at[0]] == region[at[0]]
+        stays[at[-1] + 1 :] &= region[at[-1] + 1 :] == region[at[-1]]
+    return np.flatnonzero(stays)
+
+
+def main_text(html: str | None, sigma: float = 1.0, strength: float = 0.5, score=line_scores) -> str:
     """The lines of the content region, joined by line feeds."""
     if not html:
         return ""
@@ -167,32 +223,7 @@ def main_text(html: str | None, sigma: float = 1.0, strength: float = 0.5) -> st
     page.flush()
     if not page.lines:
         return ""
-    noise = np.array([x[2] for x in page.lines])
-    region, article = (np.array([x[k] for x in page.lines]) for k in (3, 4))
-    chars = np.array([len(x[0]) for x in page.lines])
-    scores = smooth(np.where(noise, 0.0, chars) / np.maximum(1, [x[1] for x in page.lines]), sigma)
-    content = ~noise & (scores >= strength * scores.std())
-    if not content.any():
-        content = ~noise
-    if not content.any():
-        return ""
-    mass = np.where(content, chars, 0)
-    inside = np.array([page.kinds.get(k) == "article" for k in article])
-    if mass[inside].sum() > 0.5 * mass.sum():  # an article within a main element is the closer one
-        chosen = ~noise & inside
-    elif mass[article > 0].sum() > 0.5 * mass.sum():
-        chosen = ~noise & (article > 0)
-    else:
-        # Regions that hold a good part of the mass of the best one, and what stands between their first and last content line.
-        by = np.bincount(region, mass)
-        strong = content & (by[region] >= 0.2 * by.max())
-        at = np.flatnonzero(strong)
-        chosen = ~noise
-        chosen[: at[0]] = False
-        chosen[at[-1] + 1 :] = region[at[-1] + 1 :] == region[at[-1]]
-        chosen[: at[0]] = region[: at[0]] == region[at[0]]
-        chosen &= ~noise
-    return "\n".join(page.lines[k][0] for k in np.flatnonzero(chosen))
+    return "\n".join(page.lines[k][0] for k in choose_lines(page, score(page, sigma), strength))
 
 
 def _extract(row_type: pa.DataType):
