@@ -1,8 +1,10 @@
 """Near-duplicate embeddings: sign hashing in several tables, exact cosines, connected components.
 
-The signs of projections on random hyperplanes make a bucket number in each table. Vectors that share
-a bucket are compared exactly, block by block; each link is counted in the first table in which its
-ends meet. What leaves a block is a count per vector and a spanning set of links, never all pairs.
+The signs of projections on random hyperplanes make a signature, and some of its bits a bucket number in
+each table. Only ids and signatures go to the buckets. There, signatures that differ in few bits make
+groups, but only of vectors that meet no earlier; a vector itself is sent once to each such group, where
+exact cosines decide. So what is sent of a vector follows its near vectors, not the number of tables. What
+leaves a group is a count per vector and a spanning set of links, never all pairs.
 """
 
 from __future__ import annotations
@@ -20,11 +22,58 @@ from tarnflow.llm.grouping import dealt, grouped, smallest_reachable
 from tarnflow.llm.storage import cut
 
 
-def plan_tables(n: int, threshold: float, miss: float, per_bucket: int = 64) -> tuple[int, int]:
-    """Bits a table and number of tables: buckets of about ``per_bucket`` vectors, and a chance of at most ``miss`` to lose a pair at the threshold."""
+#: Bits of a signature.
+SIGNS = 384
+
+
+def _binomial(p: float) -> list[float]:
+    """Chances of 0, 1, ... of the signs to differ, each with a chance of ``p``."""
+    return [math.comb(SIGNS, d) * p**d * (1 - p) ** (SIGNS - d) for d in range(SIGNS + 1)]
+
+
+def most_differing(threshold: float, miss: float) -> int:
+    """The least number of signs such that a pair at the threshold differs in more with a chance of at most ``miss``."""
+    left, most = 1.0, 0
+    for most, chance in enumerate(_binomial(math.acos(threshold) / math.pi)):
+        left -= chance
+        if left <= miss:
+            break
+    return most
+
+
+def plan_tables(n: int, threshold: float, miss: float, per_bucket: int = 512) -> tuple[int, int]:
+    """Bits a table and number of tables: buckets of about ``per_bucket`` vectors, and a chance of at most ``miss`` to lose a pair at the threshold.
+
+    Tables draw their bits from one signature, so the chance is taken over how many of its signs differ.
+    """
     bits = min(31, max(4, math.ceil(math.log2(max(2, n) / per_bucket))))
-    same = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, max(1, math.ceil(math.log(miss) / math.log1p(-same)))
+    weights = _binomial(math.acos(threshold) / math.pi)
+    apart = [1 - math.comb(SIGNS - d, bits) / math.comb(SIGNS, bits) for d in range(SIGNS + 1)]
+    chance = lambda tables: sum(w * x**tables for w, x in zip(weights, apart, strict=True))
+    high = 1
+    while chance(high) > miss:
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if chance(mid) > miss else (low, mid)
+    return bits, high
+
+
+def _picks(dims: int, bits: int, tables: int, seed: int) -> np.ndarray:
+    """The places in a signature that each table reads."""
+    rng = np.random.default_rng([seed, dims, 1])
+    return np.stack([rng.permutation(SIGNS)[:bits] for _ in range(tables)])
+
+
+def _codes(signs: np.ndarray, picks: np.ndarray) -> np.ndarray:
+    """Bucket numbers in each table, from rows of 0 and 1."""
+    weights = (1 << np.arange(picks.shape[1], dtype=np.int64)).astype(float)
+    return np.stack([signs[:, p] @ weights for p in picks], 1).astype(np.int32)
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SIGNS // 8)
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -51,52 +100,107 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sign(bits_of: dict[int, tuple[int, int]], seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = {}
+        planes, picks = {}, {}
         for batch in batches:
             dims = batch.column("dims").to_numpy()
             for d in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == d))
-                bits, tables = bits_of[d]
                 if d not in planes:
-                    planes[d] = np.random.default_rng([seed, d]).standard_normal((d, tables * bits))
+                    planes[d] = np.random.default_rng([seed, d]).standard_normal((d, SIGNS))
+                    picks[d] = _picks(d, *bits_of[d], seed)
                 for at in range(0, part.num_rows, 2048):
                     own = part.slice(at, 2048)
-                    signs = (_matrix(own.column("vec"), d) @ planes[d] > 0).reshape(-1, tables, bits)
-                    codes = (signs @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(own.num_rows + 1) * tables, pa.int32()), pa.array(codes.ravel()))
-                    yield pa.RecordBatch.from_arrays([own.column("rep"), own.column("size"), own.column("dims"), own.column("vec"), lists], ["rep", "size", "dims", "vec", "codes"])
+                    signs = _matrix(own.column("vec"), d) @ planes[d] > 0
+                    codes = _codes(signs, picks[d])
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(own.num_rows + 1) * codes.shape[1], pa.int32()), pa.array(codes.ravel()))
+                    sign = pa.array([x.tobytes() for x in np.packbits(signs, axis=1)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*[own.column(c) for c in ("cid", "rep", "size", "dims", "vec")], sign, lists], ["cid", "rep", "size", "dims", "vec", "sign", "codes"])
 
     return run
 
 
-def _compare(threshold: float):
+def _met_before(signs: np.ndarray, picks: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows i and j agree in all bits of one of the tables of ``picks``."""
+    met = np.zeros(len(i), bool)
+    for at in range(0, len(i), 1 << 12):
+        part = slice(at, at + (1 << 12))
+        same = signs[i[part]] == signs[j[part]]
+        for p in picks:
+            met[part] |= same[:, p].all(1)
+    return met
+
+
+def _gather(bits_of: dict[int, tuple[int, int]], seed: int, most: int):
+    """Groups of a bucket's vectors that are linked by signatures that differ in few bits and meet in no earlier table."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        picks = {d: _picks(d, *of, seed) for d, of in bits_of.items()}
         rows: list[tuple[np.ndarray, ...]] = []
         held = 0
 
         def flush():
-            rep, add, low = (np.concatenate(x) for x in zip(*rows, strict=True))
+            out = [np.concatenate(x) for x in zip(*rows, strict=True)]
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(add), pa.array(low)], ["rep", "add", "low"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["t", "p", "q", "head", "cid", "own"])
 
         for group in grouped(batches, ["dims", "t", "code", "p", "q"]):
             if group.num_rows < 2:
                 continue
-            t, p, q = (group.column(c)[0].as_py() for c in ("t", "p", "q"))
-            x = _matrix(group.column("vec"), group.column("dims")[0].as_py())
-            codes = np.asarray(group.column("codes").combine_chunks().flatten()).reshape(len(x), -1)
+            d, t, p, q = (group.column(c)[0].as_py() for c in ("dims", "t", "p", "q"))
+            packed = _signatures(group.column("sign"))
+            words, block, cid = packed.view(np.uint64), group.column("own").to_numpy(), group.column("cid").to_numpy()
+            one = np.arange(len(cid)) if p == q else np.flatnonzero(block == p)
+            two = one if p == q else np.flatnonzero(block == q)
+            apart = np.zeros((len(one), len(two)), np.uint16)
+            for k in range(words.shape[1]):
+                apart += np.bitwise_count(words[one, k][:, None] ^ words[two, k][None, :])
+            close = apart <= most
+            i, j = np.nonzero(np.triu(close, 1) if p == q else close)
+            i, j = one[i], two[j]
+            if t and len(i):
+                new = ~_met_before(np.unpackbits(packed, axis=1), picks[d][:t], i, j)
+                i, j = i[new], j[new]
+            if not len(i):
+                continue
+            head = smallest_reachable(len(cid), i, j)
+            some = np.unique(np.concatenate((i, j)))
+            rows.append((*[np.full(len(some), x, np.int32) for x in (t, p, q)], cid[head[some]], cid[some], block[some]))
+            held += len(some)
+            if held > 50_000:
+                yield flush()
+                held = 0
+        if rows:
+            yield flush()
+
+    return run
+
+
+def _compare(bits_of: dict[int, tuple[int, int]], seed: int, threshold: float, most: int):
+    """Exact cosines within a group, for the pairs that the bucket put into it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        picks = {d: _picks(d, *of, seed) for d, of in bits_of.items()}
+        rows: list[tuple[np.ndarray, ...]] = []
+        held = 0
+
+        def flush():
+            rep, add, low = (np.concatenate(x) for x in zip(*rows, strict=True))
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(add), pa.array(low)], ["rep", "add", "low"])
+
+        for group in grouped(batches, ["t", "p", "q", "head"]):
+            d, t, p, q = (group.column(c)[0].as_py() for c in ("dims", "t", "p", "q"))
+            x = _matrix(group.column("vec"), d)
             rep, size, block = (group.column(c).to_numpy() for c in ("rep", "size", "own"))
-            if p == q:
-                i, j = np.nonzero(np.triu(x @ x.T >= threshold, 1))
-            else:
-                one, two = np.flatnonzero(block == p), np.flatnonzero(block == q)
-                i, j = np.nonzero(x[one] @ x[two].T >= threshold)
-                i, j = one[i], two[j]
-            if t and len(i):  # met in an earlier table?
-                new = np.ones(len(i), bool)
-                for at in range(0, len(i), 1 << 15):
-                    s = slice(at, at + (1 << 15))
-                    new[s] = ~(codes[i[s], :t] == codes[j[s], :t]).any(1)
+            one = np.arange(len(x)) if p == q else np.flatnonzero(block == p)
+            two = one if p == q else np.flatnonzero(block == q)
+            near = x[one] @ x[two].T >= threshold
+            i, j = np.nonzero(np.triu(near, 1) if p == q else near)
+            i, j = one[i], two[j]
+            if len(i):
+                signs = np.unpackbits(_signatures(group.column("sign")), axis=1)
+                new = (signs[i] != signs[j]).sum(1) <= most
+                new &= ~_met_before(signs, picks[d][:t], i, j)
                 i, j = i[new], j[new]
             if not len(i):
                 continue
@@ -117,7 +221,7 @@ def _compare(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9, miss: float = 1e-4, block: int = 512, seed: int = 11) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9, miss: float = 1e-4, block: int = 1024, seed: int = 11) -> DataFrame:
     """One row per vector: ``id, n_links, component`` (smallest id that links lead to, itself included).
 
     Vectors link when their cosine, in double precision, is at least ``threshold``. A pair at the threshold
@@ -125,7 +229,8 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     are null, empty, zero or hold a null or non-finite component, and rows with a null id, link with
     nothing; vectors of different length neither. Equal vectors are one class and count each by its size;
     repeated rows each give a row and count as vectors; rows that share an id but not
-    their vector share their links. Empty tables give no rows; other columns are ignored.
+    their vector share their links. Empty tables give no rows; other columns are ignored. Ids are integers, or
+    strings that hold such; others raise an error.
 
     Buckets of more than ``block`` classes are dealt into blocks and all pairs of blocks become tasks of their own.
     """
@@ -138,15 +243,20 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     usable = packed.where("id is not null and vec is not null")
     classes = cut(usable.groupBy("vec", "dims").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")), "vector-classes")
     bits_of = {r.dims: plan_tables(r["count"], threshold, miss) for r in classes.groupBy("dims").count().collect()}  # one row per length of vector
-    signed = cut(classes.mapInArrow(_sign(bits_of, seed), "rep long, size long, dims int, vec binary, codes array<int>"), "signed")
-    spread = signed.select("*", F.posexplode("codes").alias("t", "code"))
-    buckets = signed.select("dims", F.posexplode("codes").alias("t", "code")).groupBy("dims", "t", "code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = cut(buckets.select("dims", "t", "code", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "buckets")
-    met = spread.join(buckets, ["dims", "t", "code"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    most = most_differing(threshold, miss / 10)
+    numbered = classes.select(F.monotonically_increasing_id().alias("cid"), "rep", "size", "dims", "vec")
+    signed = cut(numbered.mapInArrow(_sign(bits_of, seed), "cid long, rep long, size long, dims int, vec binary, sign binary, codes array<int>"), "signed")
+    spread = signed.select("cid", "dims", "sign", F.posexplode("codes").alias("t", "code"))
+    large = spread.groupBy("dims", "t", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    large = cut(large.select("dims", "t", "code", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large-buckets")
+    met = spread.join(large, ["dims", "t", "code"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    met = met.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = met.select("*", other.alias("other")).withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
-    rows = dealt(pairs.select("dims", "t", "code", "p", "q", "own", "rep", "size", "vec", "codes"), "dims", "t", "code", "p", "q")
-    links = cut(rows.mapInArrow(_compare(threshold), "rep long, add long, low long"), "links")
+    rows = dealt(pairs.select("dims", "t", "code", "p", "q", "own", "cid", "sign"), "dims", "t", "code", "p", "q")
+    groups = cut(rows.mapInArrow(_gather(bits_of, seed, most), "t int, p int, q int, head long, cid long, own int"), "groups")
+    sent = groups.join(signed.select("cid", "rep", "size", "dims", "vec", "sign"), "cid")
+    links = cut(dealt(sent, "t", "p", "q", "head").mapInArrow(_compare(bits_of, seed, threshold, most), "rep long, add long, low long"), "links")
     counts = links.groupBy("rep").agg(F.sum("add").alias("add"))
     parts = connected_components(links.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     judged = classes.select("vec", "rep", "size").join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")

@@ -50,6 +50,26 @@ def test_components_match_brute_force(spark, few):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_embeddings_find_planted_pairs(spark):
+    """Recall over pairs just above the threshold, in a crowd of unlike vectors; no pair below it links."""
+    rng = np.random.default_rng(23)
+    one = rng.standard_normal((1500, 64))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    side = rng.standard_normal(one.shape)
+    side -= (side * one).sum(1, keepdims=True) * one
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9005, 0.93, 1500)
+    cosine[1200:] = rng.uniform(0.86, 0.8995, 300)  # these must not link
+    two = cosine[:, None] * one + np.sqrt(1 - cosine**2)[:, None] * side
+    crowd = rng.standard_normal((2000, 64))
+    vectors = np.concatenate((one, two, crowd))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {r.id: (r.n_links, r.component) for r in embedding_dedup.near_duplicates(df).collect()}
+    found = sum(got[1500 + k] == (1, k) and got[k] == (1, k) for k in range(1200))
+    assert found >= 1180
+    assert all(got[i] == (0, i) for i in [*range(1200, 1500), *range(2700, 5000)])
+
+
 def brute_vectors(vectors):
     ok = {i: np.array(v, float) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     ids = sorted(ok)
