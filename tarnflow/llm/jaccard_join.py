@@ -1,7 +1,8 @@
 """Jaccard join of documents on word shingles, by signature trees.
 
 Equal shingle sets are one set. Sets that share a band of minimum hashes are gathered into candidate
-components, small enough for one task or dealt into blocks. Within a task the sets are the leaves of
+components, small enough for one task or dealt into blocks. What is apart after that in a large component meets
+only where it shares a band and a range of sizes. Within a task the sets are the leaves of
 a tree whose nodes hold the OR of the token bitmaps below and the range of set sizes; a traversal of
 pairs of nodes drops those whose largest possible overlap is too small, and the pairs of leaves that
 are left are compared exactly unless they are linked already.
@@ -102,7 +103,7 @@ def _describe(words_each: int, each: int, bands: int, seed: int):
             hashes = band_hashes(sets, each, bands, seed) if len(sets.tokens) else np.zeros((0, bands), U64)
             sizes = np.where(sets.n > 0, bands, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(hashes.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(k1), pa.array(k2), pa.array(sets.n, pa.int64()), lists], ["id", "k1", "k2", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(k1), pa.array(k2), pa.array(sets.n, pa.int64()), lists], ["id", "text_key", "k1", "k2", "n", "bands"])
 
     return run
 
@@ -132,7 +133,7 @@ def _tokens(words_each: int):
             good = np.flatnonzero((k1 == batch.column("k1").to_numpy()) & (k2 == batch.column("k2").to_numpy()))
             data = [sets.tokens[sets.first[i] : sets.first[i + 1]].tobytes() for i in good.tolist()]
             own = batch.take(pa.array(good))
-            yield pa.RecordBatch.from_arrays([own.column("rep"), own.column("part"), pa.array(data, pa.binary())], ["rep", "part", "tokens"])
+            yield pa.RecordBatch.from_arrays([own.column("rep"), own.column("part"), own.column("blocks"), pa.array(data, pa.binary())], ["rep", "part", "blocks", "tokens"])
 
     return run
 
@@ -266,36 +267,69 @@ def _linked(rows: DataFrame, num: int, den: int) -> DataFrame:
     return cut(dealt(rows.select("part", "p", "q", "rep", "label", "tokens"), "part", "p", "q").mapInArrow(_link(num, den), "a long, b long"), "jaccard-links")
 
 
+def _contested(bands: DataFrame, named: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Where sets with different labels share a band and a range of sizes: ``part, p, q, rep, label, tokens``.
+
+    ``bands``: rep, n, h; ``named``: rep, label, tokens. Sets that can link differ in size by less than one step, so each is in the
+    range of its size and the next. The sets of the most frequent label of a place are dealt into blocks, and
+    each of the others meets all blocks; only ids are sent until it is known what meets.
+    """
+    step = F.floor(F.log("n") / math.log(den / num)) if num < den else F.col("n")
+    ranges = F.explode(F.array(step, step + 1)).alias("c")
+    at = bands.join(named.select("rep", "label"), "rep").select(F.col("h"), "rep", "label", ranges)
+    held = at.groupBy("h", "c", "label").agg(F.count(F.lit(1)).alias("n"))
+    size = lambda c, name: F.ceil(c / block).cast("int").alias(name)
+    main = held.groupBy("h", "c").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
+    main = cut(main.select("h", "c", "main", size(F.col("all"), "blocks"), size(F.col("all") - F.col("most"), "sides")), "contested-bands")
+    both = at.join(main, ["h", "c"]).withColumn("part", F.xxhash64("h", "c"))  # two places under one number only compare more
+    place = lambda k: F.pmod(F.xxhash64(F.lit(3), F.col("rep")), F.col(k)).cast("int")
+    to = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    apart = both.where("label <> main").select("part", "rep", place("sides").alias("p"), to("blocks").alias("q"))
+    all_ = both.select("part", "rep", to("sides").alias("p"), place("blocks").alias("q"))
+    return apart.unionByName(all_).distinct().join(named.select("rep", "label", "tokens"), "rep")
+
+
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words_each: int = 3, threshold: tuple[int, int] = (90, 100), block: int = 2048, block_tokens: int = 4_000_000, miss: float = 1e-6, seed: int = 5) -> DataFrame:
-    """One row per document: ``id, n_shingles, component`` (smallest id that links lead to, itself included).
+    """One row per document: ``id, n_shingles, component`` (smallest id that links lead to, itself included), ``text_key``, ``group``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. A set is a text's distinct runs of ``words_each``
     words; fewer words are one run. Sets link when den * intersection >= num * union. Texts without words,
     or null, have an empty set that links with nothing; rows with a null id neither, and their component is
-    null. Equal texts count as linked; repeated rows each give a row. Empty tables give no rows; other
-    columns are ignored.
+    null. Equal texts count as linked; repeated rows each give a row. One id with different texts is as many
+    documents, each in the component of its text. Ids are integers. Empty tables give no rows; other columns are
+    ignored. Texts are read whole; memory follows the longest.
+
+    ``group`` numbers components (null: linked with nothing for lack of words or id) and ``text_key`` is a 64-bit hash of the text: two
+    components whose smallest ids are equal differ in ``group``.
 
     A pair at the threshold shares no band with a chance of at most ``miss``, closer pairs with far less.
     Components of more than ``block`` sets or ``block_tokens`` tokens are
-    dealt into blocks twice, at random, and linked within blocks; what is still apart from the largest
-    part of its component is then compared with every block.
+    dealt into blocks twice, at random, and linked within blocks; what has another label than the rest of a band
+    then is compared within that band.
     """
     num, den = threshold
+    if docs.schema[doc_id].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{doc_id} must hold integers")
     each, bands = plan_bands(num / den, miss)
     given = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    described = cut(given.mapInArrow(_describe(words_each, each, bands, seed), "id long, k1 long, k2 long, n long, bands array<long>"), "shingle-sets")
-    sets = described.where("id is not null and n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    sets = cut(sets, "distinct-sets")
+    keyed = given.withColumn("text_key", F.xxhash64("text"))
+    described = cut(keyed.mapInArrow(_describe(words_each, each, bands, seed), "id long, text_key long, k1 long, k2 long, n long, bands array<long>"), "shingle-sets")
+    worded = described.where("id is not null and n > 0")
+    sets = worded.groupBy("k1", "k2").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    sets = cut(sets.select(F.monotonically_increasing_id().alias("rep"), "*"), "distinct-sets")  # numbers of sets, fixed by the table
     ordered = sets.select("rep", F.explode("bands").alias("h")).repartition("h").sortWithinPartitions("h", "rep")
     parts = connected_components(ordered.mapInArrow(_stars, "a long, b long"))
 
-    members = sets.select("k1", "k2", "rep", "n").join(parts.select(F.col("node").alias("rep"), F.col("component").alias("part")), "rep")
+    members = sets.select("k1", "k2", "rep", "low", "n").join(parts.select(F.col("node").alias("rep"), F.col("component").alias("part")), "rep")
+    members = cut(members, "part-members")
     sizes = members.groupBy("part").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens"))
     blocks = F.greatest(F.ceil(F.col("sets") / block), F.ceil(F.col("tokens") / block_tokens)).cast("int")
-    sizes = cut(sizes.select("part", blocks.alias("blocks")), "part-sizes")
-    texts = given.where("id is not null").withColumnRenamed("id", "rep").join(members, "rep")
-    tokens = texts.select("rep", "part", "k1", "k2", "text").mapInArrow(_tokens(words_each), "rep long, part long, tokens binary")
-    rows = cut(tokens.join(sizes, "part"), "part-sets")
+    wanted = members.join(sizes.select("part", blocks.alias("blocks")), "part").select("k1", "k2", "rep", F.col("low").alias("id"), "part", "blocks")
+    texts = given.where("id is not null").join(wanted, "id")
+    rows = cut(texts.select("rep", "part", "blocks", "k1", "k2", "text").mapInArrow(_tokens(words_each), "rep long, part long, blocks int, tokens binary"), "part-sets")
+    again = cut(rows.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rep"), "repeated-sets")
+    if not again.isEmpty():  # repeated rows of one id and text
+        rows = rows.join(again, "rep", "left_anti").unionByName(rows.join(again, "rep", "left_semi").dropDuplicates(["rep"]))
 
     zero = F.lit(0)
     links = _linked(rows.where("blocks = 1").select("*", zero.alias("p"), zero.alias("q"), F.col("rep").alias("label")), num, den)
@@ -306,23 +340,20 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
             links = links.union(_linked(large.select("*", own.alias("p"), zero.alias("q"), F.col("rep").alias("label")), num, den))
         so_far = connected_components(links)
         named = large.join(so_far.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        named = cut(named, "labelled-sets")
-        held = named.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n"))
-        main = held.groupBy("part").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("apart"))
-        main = cut(main.where("apart > 0").select("part", "main", F.ceil(F.col("apart") / block).cast("int").alias("sides")), "main-labels")
-        both = named.join(main, "part")
-        place = lambda k: F.pmod(F.xxhash64(F.lit(3), F.col("rep")), F.col(k)).cast("int")
-        apart = both.where("label <> main").select("*", place("sides").alias("p"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("q"))
-        all_ = both.select("*", F.explode(F.sequence(zero, F.col("sides") - 1)).alias("p"), place("blocks").alias("q"))
-        links = links.union(_linked(apart.unionByName(all_).dropDuplicates(["part", "p", "q", "rep"]), num, den))
+        named = cut(named.select("rep", "label", "tokens"), "labelled-sets")
+        links = links.union(_linked(_contested(sets.select("rep", "n", F.explode("bands").alias("h")), named, num, den, block), num, den))
     final = connected_components(links)
-    by_set = sets.select("k1", "k2", "rep").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("found"))
-    judged = described.where("id is not null and n > 0").select("id", "n", "k1", "k2").join(by_set, ["k1", "k2"]).select("id", F.col("n").alias("n_shingles"), F.col("found").alias("component"))
-    alone = described.where("id is null or n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component"))
+    by_set = sets.select("k1", "k2", "rep", "low").join(final.select(F.col("node").alias("rep"), F.col("component").alias("group")), "rep", "left").select("k1", "k2", "low", F.coalesce("group", "rep").alias("group"))
+    by_set = cut(by_set, "set-groups")
+    lowest = by_set.groupBy("group").agg(F.min("low").alias("component"), F.count(F.lit(1)).alias("n")).where("n > 1").select("group", "component")
+    by_set = by_set.join(lowest, "group", "left").select("k1", "k2", "group", F.coalesce("component", "low").alias("component"))
+    judged = worded.select("id", "n", "text_key", "k1", "k2").join(by_set, ["k1", "k2"]).select("id", F.col("n").alias("n_shingles"), "component", "text_key", "group")
+    alone = described.where("id is null or n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component"), "text_key", F.lit(None).cast("long").alias("group"))
     return judged.union(alone)
 
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """Documents with the size of their shingle set and their component, as the contract has it."""
     out = jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
