@@ -25,15 +25,22 @@ def _unit(text: Column) -> Column:
 PART = 64.0
 
 
-def _distribution(mean: Column) -> Column:
-    """Values of the Poisson distribution function at 0, 1, ... until they stop growing."""
-    step = lambda s, k: F.struct(
-        (s["p"] * mean / k).alias("p"), (s["c"] + s["p"] * mean / k).alias("c"), F.array_append(s["all"], s["c"] + s["p"] * mean / k).alias("all")
-    )
+#: Rows of a source are dealt out by so many numbers in the join with its mean, since one source may hold a third of them.
+SALTS = 32
+
+
+def _draw(mean: Column, point: Column) -> Column:
+    """Inversion: how many values of the Poisson distribution function are at most ``point``, as far as they grow."""
     first = F.exp(-mean)
-    start = F.struct(first.alias("p"), first.alias("c"), F.array(first).alias("all"))
+    start = F.struct(first.alias("p"), first.alias("c"), (first <= point).cast("int").alias("n"))
+
+    def step(s, k):
+        p = s["p"] * mean / k
+        c = s["c"] + p
+        return F.struct(p.alias("p"), c.alias("c"), (s["n"] + ((c <= point) & (c > s["c"])).cast("int")).alias("n"))
+
     reach = F.ceil(mean + F.lit(12.0) * F.sqrt(mean) + F.lit(30.0)).cast("int")
-    return F.array_distinct(F.aggregate(F.sequence(F.lit(1), reach), start, step, lambda s: s["all"]))
+    return F.aggregate(F.sequence(F.lit(1), reach), start, step, lambda s: s["n"])
 
 
 def mixing_means(docs: DataFrame, *, source: str = "source", weights: dict[str, float] | None = None, temperature: float = 0.5, total: int | None = None) -> DataFrame:
@@ -58,31 +65,34 @@ def mixing_means(docs: DataFrame, *, source: str = "source", weights: dict[str,
     return sums.select("source", "n", mean.alias("mean"))
 
 
-def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, temperature: float = 0.5, total: int | None = None, seed: int = 17) -> DataFrame:
+def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: dict[str, float] | None = None, temperature: float = 0.5, total: int | None = None, seed: int = 17) -> DataFrame:
     """Documents in random order, each as often as drawn: ``row`` (struct of its columns), ``copy`` from 1, ``shuffle_key``.
 
-    The point of a draw comes from the seed and the id (null: empty), so repeated rows are drawn alike.
-    Null sources form a source of their own, of weight 0 where weights are given. Texts aren't looked at.
-    Empty tables give no rows.
+    The point of a draw comes from the seed, the id (null: empty) and the text (null or no such column: empty), so only rows that agree in
+    both are drawn alike. Null sources form a source of their own, of weight 0 where weights are given. Empty
+    tables give no rows; other columns, whatever their names, are carried in ``row``.
 
-    A row goes to the partition that the hash of (seed, id, copy) names and is sorted by it there,
-    which deals every source evenly over all partitions.
+    A row goes to a partition by the hash of its key, which comes from seed, id, text and copy, and of a number that
+    tells rows with one key apart; it is sorted by key there. That deals every source evenly over
+    all partitions, repeated rows too.
     """
-    means = mixing_means(docs, source=source, weights=weights, temperature=temperature, total=total)
+    means = cut(mixing_means(docs, source=source, weights=weights, temperature=temperature, total=total), "mixing-means")
+    table = means.select(F.col("source").alias("of"), "mean", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    name = F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")) if text in docs.columns else F.lit("")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name.alias("id"), F.col(source).cast("string").alias("source"), F.monotonically_increasing_id().alias("place"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(SALTS)).cast("int"))
+    joined = rows.join(table, rows["source"].eqNullSafe(table["of"]) & (rows["salt"] == table["part"]))
     parts = F.greatest(F.ceil(F.col("mean") / PART), F.lit(1)).cast("int")
-    table = cut(means.select("source", parts.alias("parts"), _distribution(F.col("mean") / parts).alias("cdf")), "mixing-means")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), F.col(source).cast("string").alias("source"))
-    joined = rows.join(table, rows["source"].eqNullSafe(table["source"]))
-    point = lambda *more: _unit(F.concat_ws("|", F.lit(str(seed)), F.col("id"), *more))
-    below = lambda u: F.size(F.filter("cdf", lambda c: c <= u))
-    count = F.when(F.col("parts") == 1, below(point(F.lit("1")))).otherwise(F.aggregate(F.sequence(F.lit(1), "parts"), F.lit(0), lambda n, j: n + below(point(j.cast("string")))))
-    drawn = joined.select("row", "id", count.alias("times")).where("times > 0")
-    copies = drawn.select("row", "id", F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
-    keyed = copies.select("row", "copy", F.md5(F.concat_ws("|", F.lit(f"{seed} order"), F.col("id"), F.col("copy").cast("string"))).alias("shuffle_key"))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    point = lambda j: _unit(F.concat_ws("|", F.lit(str(seed)), F.col("id"), j.cast("string")))
+    count = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, j: n + _draw(F.col("mean") / parts, point(j)))
+    drawn = joined.select("row", "id", "place", count.alias("times")).where("times > 0")
+    copies = drawn.select("row", "id", "place", F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
+    keyed = copies.select("row", "copy", F.md5(F.concat_ws("|", F.lit(f"{seed} order"), F.col("id"), F.col("copy").cast("string"))).alias("shuffle_key"), "place")
+    return keyed.repartition("shuffle_key", "place").sortWithinPartitions("shuffle_key").drop("place")
 
 
 def op10_source_mixing(spark, sf_dir: str) -> DataFrame:
+    """All documents, repeated towards shares to the power 0.5, total unchanged."""
     out = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("row.doc_id", "row.source", "copy", "shuffle_key", F.col("row.text").alias("text"))
 
@@ -91,7 +101,7 @@ ORACLE_OP10 = """
 WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 m AS (SELECT source, (SELECT sum(n) FROM n) * sqrt(n) / (SELECT sum(sqrt(n)) FROM n) / n AS mean FROM n),
 t AS (SELECT source, k, sum(exp(-mean + k * ln(mean) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM m, range(0, 80) AS r(k)),
-u AS (SELECT doc_id, source, text, ('0x' || substr(md5('17|' || doc_id || '|1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
-d AS (SELECT doc_id, u.source, any_value(text) AS text, count(*) FILTER (WHERE cdf <= u) AS times FROM u JOIN t ON t.source IS NOT DISTINCT FROM u.source GROUP BY doc_id, u.source)
-SELECT doc_id, source, c::INTEGER AS copy, md5('17 order|' || doc_id || '|' || c) AS shuffle_key, text FROM d, unnest(range(1, times + 1)) AS x(c)
+u AS (SELECT doc_id, source, text, ('0x' || substr(md5('17|' || doc_id || '|' || md5(coalesce(text, '')) || '|1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+d AS (SELECT doc_id, u.source, text, count(*) FILTER (WHERE cdf <= u) AS times FROM u JOIN t ON t.source IS NOT DISTINCT FROM u.source GROUP BY doc_id, u.source, text)
+SELECT doc_id, source, c::INTEGER AS copy, md5('17 order|' || doc_id || '|' || md5(coalesce(text, '')) || '|' || c) AS shuffle_key, text FROM d, unnest(range(1, times + 1)) AS x(c)
 """
