@@ -33,10 +33,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays, as one row; rows without an id stay."""
-    found = jaccard_join.jaccard_components(docs, words_each=WORDS_EACH, threshold=SIMILARITY)
-    keep = found.where("id = component").select(F.col("id").alias("kept_id")).distinct()
-    one = docs.join(keep, docs["doc_id"] == keep["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of near duplicates the document with the smallest id stays.
+
+    A document is an id with a text: where one id has several texts, each is judged by its own group, and of several
+    texts of the smallest id in a group the one with the least hash stays. Repeated rows stay as one. Documents
+    without words link with nothing and stay, and so do all rows without an id.
+    """
+    found = jaccard_join.jaccard_components(docs, words_each=WORDS_EACH, threshold=SIMILARITY).where("id is not null")
+    keep = found.where("group is not null").groupBy("group").agg(F.min(F.struct("id", "text_key")).alias("k")).select("k.*")
+    keep = keep.union(found.where("group is null").select("id", "text_key"))
+    one = docs.where("doc_id is not null").withColumn("__text_key", F.xxhash64("text")).dropDuplicates(["doc_id", "__text_key"])
+    one = one.join(keep, (one["doc_id"] == keep["id"]) & (one["__text_key"] == keep["text_key"]), "left_semi").drop("__text_key")
     return one.unionByName(docs.where("doc_id is null"))
 
 

@@ -385,3 +385,38 @@ def test_poisson_draws_follow_the_distribution(spark):
     out = source_mixing.mix_sources(df, total=40_000)
     times = collections.Counter(r["count"] for r in out.groupBy("row.doc_id").count().collect())
     assert abs(times[2] / 20_000 - 2 * np.exp(-2)) < 0.02 and abs(times[1] / 20_000 - 2 * np.exp(-2)) < 0.02
+
+
+def test_mixing_deals_repeated_and_null_ids_over_all_partitions(spark):
+    """Rows without an id, rows that repeat and a source of nine tenths of the rows."""
+    rows = [(None, f"text {k}", "large", 1) for k in range(20_000)] + [(7, "same", "large", 1)] * 20_000 + [(k, "x", f"s{k % 40}", 1) for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mean int")
+    out = source_mixing.mix_sources(df, total=44_000, temperature=1.0)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # partitions as they are dealt
+    sizes = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    mean = sum(r["count"] for r in sizes) / len(sizes)
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 1.3 * mean
+    unlike = out.where("row.text like 'text%'").groupBy("row.text").count().count()
+    assert 11_000 < unlike < 14_500  # about 1 - 1 / e of them are drawn at least once
+
+
+def test_jaccard_takes_integer_ids_only(spark):
+    df = spark.createDataFrame([("a", "one two three")], "doc_id string, text string")
+    with pytest.raises(ValueError, match="integers"):
+        jaccard_join.jaccard_components(df)
+
+
+def test_jaccard_splits_large_components(spark):
+    """A chain of template texts whose candidates hang together while few of them link; blocks of 16 sets."""
+    rng = np.random.default_rng(8)
+    base = [f"t{k}" for k in range(60)]
+    rows = []
+    for k in range(300):
+        words = list(base)
+        for at in rng.choice(60, rng.integers(0, 9), replace=False):
+            words[at] = f"v{rng.integers(0, 4)}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.id, r.n_shingles, r.component) for r in jaccard_join.jaccard_components(df, block=16).collect())
+    assert got == sorted(brute_jaccard(rows, 3, 90, 100))

@@ -66,6 +66,15 @@ def test_near_duplicate_stage(spark, docs):
     assert collections.Counter(r.doc_id for r in got) == collections.Counter([*keep, None])
 
 
+def test_one_id_with_two_texts(spark, docs):
+    """Each text of an id is a document of its own; repeated rows of one are one."""
+    words = [[f"w{k}x{i}" for i in range(40)] for k in range(4)]
+    texts = [(1, " ".join(words[0])), (1, " ".join(words[1])), (1, " ".join(words[1])), (2, " ".join(words[1])), (3, " ".join(words[2])), (3, None), (3, ""), (4, " ".join(words[0][:39]))]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, f"a{n}") for n, (i, t) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, id string")
+    got = sorted(((r.doc_id, r.text) for r in rows(stages.ngram_jaccard(spark, df, SF))), key=str)
+    assert got == sorted([texts[0], texts[1], texts[4], (3, None), (3, "")], key=str)
+
+
 def test_decontamination_stage(spark, docs):
     before = [(r.doc_id, r.text) for r in rows(docs)]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -78,7 +87,8 @@ def test_mixing_stage(spark, docs):
     before = rows(docs)
     n = collections.Counter(r.source for r in before)
     total = sum(k**0.5 for k in n.values())
-    unit = lambda i: int(hashlib.md5(f"17|{'' if i is None else i}|1".encode()).hexdigest()[:13], 16) / 16**13
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    unit = lambda r: int(md5(f"17|{'' if r.doc_id is None else r.doc_id}|{md5(r.text or '')}|1")[:13], 16) / 16**13
 
     def draw(u, mean):
         p = c = math.exp(-mean)
@@ -91,7 +101,7 @@ def test_mixing_stage(spark, docs):
 
     expected = collections.Counter()
     for r in before:
-        expected[r.doc_id] += draw(unit(r.doc_id), len(before) * n[r.source] ** 0.5 / total / n[r.source])
+        expected[r.doc_id] += draw(unit(r), len(before) * n[r.source] ** 0.5 / total / n[r.source])
     out = rows(stages.mixing(spark, docs, SF))
     assert collections.Counter(r.doc_id for r in out) == +expected
 
