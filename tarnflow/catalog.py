@@ -3,67 +3,18 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnflow import catalog_loops  # noqa: F401  (registers its queries)
 from tarnflow import functions as fn
 from tarnflow.flow import Engine, Flow
 from tarnflow.operators import joins, ordering
 from tarnflow.operators import windows as win
 from tarnflow.plans import graphs, iteration, nexmark
+from tarnflow.registry import DAY, EVENTS, HOUR, ORACLE_SQL, QUERIES, events, flow, micros, money, query  # noqa: F401
 from tarnflow.storage import shared_dir
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-HOUR = 3_600_000_000
-DAY = 24 * HOUR
-
-
-def query(sql: str | None = None, name: str | None = None):
-    def add(f):
-        key = name or f.__name__
-        QUERIES[key] = f
-        if sql:
-            ORACLE_SQL[key] = sql
-        return f
-
-    return add
-
-
-def flow(spark: SparkSession, sf_dir: str, table: str) -> Flow:
-    return Engine(spark).parquet(f"{sf_dir}/{table}.parquet")
-
-
-def micros(column: str) -> Column:
-    """Microseconds since the epoch of a time without zone, whatever the session's zone."""
-    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {column})")
-
-
-def money(column: str) -> str:
-    """An exact sum of two-digit decimals, as SQL for either engine."""
-    return f"cast(sum(cast({column} as decimal(18,2))) as double)"
-
-
-def events(spark, sf_dir) -> Flow:
-    return Flow(flow(spark, sf_dir, "events").df.select("event_id", micros("ts").alias("ts"), "user_id", "event_type", "value"))
-
-
-EVENTS = "e AS (SELECT event_id, epoch_us(ts) AS ts, user_id, event_type, value FROM events)"
-
-
-def edges(spark, sf_dir) -> DataFrame:
-    """Parts and suppliers as the nodes of a graph, with disjoint ids."""
-    return flow(spark, sf_dir, "lineitem").df.where("l_quantity = 1").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 100_000_000).alias("dst")).distinct()
-
-
-EDGES = "g AS (SELECT DISTINCT l_partkey AS src, l_suppkey + 100000000 AS dst FROM lineitem WHERE l_quantity = 1)"
-
-
-# Rows
-
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
 def filter_rows(spark, sf_dir):
@@ -268,13 +219,15 @@ def rollup(spark, sf_dir):
 
 
 def _sides(spark, sf_dir) -> tuple[Flow, Flow]:
-    """Customers and orders with an unmatched part and null keys on either side."""
-    c = flow(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").map(ck="CASE WHEN c_custkey % 100 = 1 THEN NULL ELSE c_custkey END", c="c_custkey")
-    o = flow(spark, sf_dir, "orders").filter("o_custkey % 5 <> 0").map(ok="CASE WHEN o_orderkey % 500 = 1 THEN NULL ELSE o_custkey END", o="o_orderkey")
+    """All customers and orders, with null keys and keys that the other side lacks."""
+    c = flow(spark, sf_dir, "customer").map(ck=_CK, c="c_custkey")
+    o = flow(spark, sf_dir, "orders").map(ok=_OK, o="o_orderkey")
     return c, o
 
 
-SIDES = "c AS (SELECT CASE WHEN c_custkey % 100 = 1 THEN NULL ELSE c_custkey END AS ck, c_custkey AS c FROM customer WHERE c_custkey % 3 <> 0), o AS (SELECT CASE WHEN o_orderkey % 500 = 1 THEN NULL ELSE o_custkey END AS ok, o_orderkey AS o FROM orders WHERE o_custkey % 5 <> 0)"
+_CK = "CASE WHEN c_custkey % 100 = 1 THEN NULL WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END"
+_OK = "CASE WHEN o_orderkey % 500 = 1 THEN NULL WHEN o_custkey % 5 = 0 THEN -1000000000 - o_custkey ELSE o_custkey END"
+SIDES = f"c AS (SELECT {_CK} AS ck, c_custkey AS c FROM customer), o AS (SELECT {_OK} AS ok, o_orderkey AS o FROM orders)"
 _JOINED = "WITH {sides} SELECT coalesce(ck, ok) AS k0, c, o AS r_o FROM c {how} JOIN o ON ck IS NOT DISTINCT FROM ok"
 
 
@@ -293,6 +246,7 @@ for _how in ("inner", "left", "full"):
     _join(f"join_{_how}_sort_merge", _how, "sort_merge")
 for _how in ("inner", "left"):
     _join(f"join_{_how}_broadcast", _how, "broadcast_right")
+    _join(f"join_{_how}_broadcast_sort_merge", _how, "broadcast_right_sort_merge")
 
 
 @query(f"WITH {SIDES} SELECT ck, c FROM c WHERE EXISTS (SELECT 1 FROM o WHERE ck IS NOT DISTINCT FROM ok)")
@@ -307,53 +261,9 @@ def join_anti(spark, sf_dir):
     return c.join(o, ("ck", "ok"), how="left_anti").df
 
 
-# The same joins of all rows: keys without a match are made by their expression.
-
-
-def _whole_sides(spark, sf_dir) -> tuple[Flow, Flow]:
-    """All customers and orders, with null keys and keys that the other side lacks."""
-    c = flow(spark, sf_dir, "customer").map(ck=_CK, c="c_custkey")
-    o = flow(spark, sf_dir, "orders").map(ok=_OK, o="o_orderkey")
-    return c, o
-
-
-_CK = "CASE WHEN c_custkey % 100 = 1 THEN NULL WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END"
-_OK = "CASE WHEN o_orderkey % 500 = 1 THEN NULL WHEN o_custkey % 5 = 0 THEN -1000000000 - o_custkey ELSE o_custkey END"
-WHOLE_SIDES = f"c AS (SELECT {_CK} AS ck, c_custkey AS c FROM customer), o AS (SELECT {_OK} AS ok, o_orderkey AS o FROM orders)"
-
-
-def _join_whole(key: str, how: str, strategy: str | None) -> None:
-    def run(spark, sf_dir):
-        c, o = _whole_sides(spark, sf_dir)
-        return c.join(o, ("ck", "ok"), how=how, strategy=strategy).df.select("k0", "c", "r_o")
-
-    query(_JOINED.format(sides=WHOLE_SIDES, how=how.upper()), key)(run)
-
-
-for _how in ("inner", "left", "right", "full"):
-    _join_whole(f"join_{_how}_whole", _how, None)
-for _how in ("inner", "left", "full"):
-    _join_whole(f"join_{_how}_hash_whole", _how, "hash")
-    _join_whole(f"join_{_how}_sort_merge_whole", _how, "sort_merge")
-for _how in ("inner", "left"):
-    _join_whole(f"join_{_how}_broadcast_whole", _how, "broadcast_right")
-
-
-@query(f"WITH {WHOLE_SIDES} SELECT ck, c FROM c WHERE EXISTS (SELECT 1 FROM o WHERE ck IS NOT DISTINCT FROM ok)")
-def join_semi_whole(spark, sf_dir):
-    c, o = _whole_sides(spark, sf_dir)
-    return c.join(o, ("ck", "ok"), how="left_semi").df
-
-
-@query(f"WITH {WHOLE_SIDES} SELECT ck, c FROM c WHERE NOT EXISTS (SELECT 1 FROM o WHERE ck IS NOT DISTINCT FROM ok)")
-def join_anti_whole(spark, sf_dir):
-    c, o = _whole_sides(spark, sf_dir)
-    return c.join(o, ("ck", "ok"), how="left_anti").df
-
-
-@query(f"WITH {WHOLE_SIDES} SELECT coalesce(ck, ok) AS k0, c, o AS r_o FROM c FULL JOIN o ON ck IS NOT DISTINCT FROM ok")
-def keyed_join_outer_whole(spark, sf_dir):
-    c, o = _whole_sides(spark, sf_dir)
+@query(f"WITH {SIDES} SELECT coalesce(ck, ok) AS k0, c, o AS r_o FROM c FULL JOIN o ON ck IS NOT DISTINCT FROM ok")
+def keyed_join_outer(spark, sf_dir):
+    c, o = _sides(spark, sf_dir)
     return c.to_keyed("ck").join_outer(o.to_keyed("ok")).df.select("k0", "c", "r_o")
 
 
@@ -364,13 +274,6 @@ def keyed_join(spark, sf_dir):
     return c.join_keyed(o).df.select("k0", "c_acctbal", "r_o_orderkey")
 
 
-@query("WITH c AS (SELECT * FROM customer WHERE c_custkey % 3 <> 0), o AS (SELECT * FROM orders WHERE o_custkey % 5 <> 0) SELECT coalesce(c_custkey, o_custkey) AS k0, c_name, o_orderkey AS r_o_orderkey FROM c FULL JOIN o ON c_custkey = o_custkey")
-def keyed_join_outer(spark, sf_dir):
-    c = flow(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").to_keyed("c_custkey")
-    o = flow(spark, sf_dir, "orders").filter("o_custkey % 5 <> 0").to_keyed("o_custkey")
-    return c.join_outer(o).df.select("k0", "c_name", "r_o_orderkey")
-
-
 def _views_and_buys(spark, sf_dir):
     e = events(spark, sf_dir)
     return e.filter("event_type = 'view'").map(user_id="user_id", ts="ts", v="event_id"), e.filter("event_type = 'purchase'").map(user_id="user_id", ts="ts", p="event_id")
@@ -682,85 +585,14 @@ def replay(spark, sf_dir):
     return spark.createDataFrame([(state,)], "state long")
 
 
-def small_edges(spark, sf_dir) -> DataFrame:
-    """Customer ids folded to 997, each with the least of its three: a graph of components of at most three nodes, small enough for recursive SQL."""
-    return flow(spark, sf_dir, "orders").df.select((F.col("o_custkey") % 997).alias("src"), (F.floor((F.col("o_custkey") % 997) / 3) * 3).cast("long").alias("dst")).distinct()
-
-
-_SMALL = "g AS (SELECT DISTINCT o_custkey % 997 AS src, (o_custkey % 997) // 3 * 3 AS dst FROM orders)"
-
-
-@query(f"WITH RECURSIVE {_SMALL}, b AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), r(node, seen) AS (SELECT src, src FROM b UNION SELECT r.node, b.dst FROM r JOIN b ON r.seen = b.src) SELECT node, min(seen) AS component FROM r GROUP BY node")
-def connected_components(spark, sf_dir):
-    return graphs.connected_components(small_edges(spark, sf_dir))
-
-
-@query("WITH RECURSIVE g AS (SELECT DISTINCT p_partkey % 200 AS src, p_partkey % 200 + 1 + p_size % 3 AS dst FROM part), r(src, dst) AS (SELECT src, dst FROM g UNION SELECT r.src, g.dst FROM r JOIN g ON r.dst = g.src) SELECT src, dst FROM r")
-def transitive_closure(spark, sf_dir):
-    g = flow(spark, sf_dir, "part").df.select((F.col("p_partkey") % 200).alias("src"), (F.col("p_partkey") % 200 + 1 + F.col("p_size") % 3).alias("dst"))
-    return graphs.transitive_closure(g)
-
-
-@query("WITH e AS (SELECT DISTINCT least(l_partkey % 300, l_suppkey % 300) AS a, greatest(l_partkey % 300, l_suppkey % 300) AS b FROM lineitem WHERE l_partkey % 300 <> l_suppkey % 300) SELECT count(*) AS triangles FROM e x JOIN e y ON x.a = y.a AND x.b < y.b JOIN e z ON z.a = x.b AND z.b = y.b")
-def triangles(spark, sf_dir):
-    g = flow(spark, sf_dir, "lineitem").df.select((F.col("l_partkey") % 300).alias("src"), (F.col("l_suppkey") % 300).alias("dst"))
-    return graphs.triangles(g)
-
-
-# The graph operators on whole tables. SQL stands beside those that it can follow.
-
-
-def all_edges(spark, sf_dir) -> DataFrame:
-    """Every part with every supplier that a line item has it from, with disjoint ids."""
-    return flow(spark, sf_dir, "lineitem").df.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 100_000_000).alias("dst")).distinct()
-
-
-@query()
-def connected_components_whole(spark, sf_dir):
-    return graphs.connected_components(all_edges(spark, sf_dir))
-
-
-@query("WITH RECURSIVE g AS (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders), r(src, dst) AS (SELECT src, dst FROM g WHERE dst IS NOT NULL UNION SELECT r.src, g.dst FROM r JOIN g ON r.dst = g.src WHERE g.dst IS NOT NULL) SELECT src, dst FROM r")
-def transitive_closure_whole(spark, sf_dir):
-    """Each order with all later ones of its customer, from edges to the next one."""
-    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    g = flow(spark, sf_dir, "orders").df.select(F.col("o_orderkey").alias("src"), F.lead("o_orderkey").over(by).alias("dst"))
-    return graphs.transitive_closure(g.where("dst is not null"))
-
-
-@query("WITH e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 100000000 AS b FROM lineitem UNION SELECT l_partkey, l_orderkey + 200000000 FROM lineitem UNION SELECT l_suppkey + 100000000, l_orderkey + 200000000 FROM lineitem) SELECT count(*) AS triangles FROM e x JOIN e y ON x.a = y.a AND x.b < y.b JOIN e z ON z.a = x.b AND z.b = y.b")
-def triangles_whole(spark, sf_dir):
-    """Among parts, suppliers and orders, linked where a line item has both."""
-    items = flow(spark, sf_dir, "lineitem").df.select(F.col("l_partkey").alias("p"), (F.col("l_suppkey") + 100_000_000).alias("s"), (F.col("l_orderkey") + 200_000_000).alias("o"))
-    return graphs.triangles(items.select(F.col("p").alias("src"), F.col("s").alias("dst")).union(items.select("p", "o")).union(items.select("s", "o")))
-
-
-@query(
-    f"""WITH RECURSIVE {EDGES}, d AS (SELECT src, count(*) AS degree FROM g GROUP BY src),
-n AS (SELECT src AS node FROM g UNION SELECT dst FROM g), k AS (SELECT count(*) AS k FROM n),
-r0 AS (SELECT node, 1.0::DOUBLE / k AS rank FROM n, k),
-r1 AS (SELECT n.node, 0.15 / k + 0.85 * coalesce(sum(rank / degree), 0) AS rank FROM n, k LEFT JOIN g ON g.dst = n.node LEFT JOIN d ON d.src = g.src LEFT JOIN r0 ON r0.node = g.src GROUP BY n.node, k),
-r2 AS (SELECT n.node, 0.15 / k + 0.85 * coalesce(sum(rank / degree), 0) AS rank FROM n, k LEFT JOIN g ON g.dst = n.node LEFT JOIN d ON d.src = g.src LEFT JOIN r1 ON r1.node = g.src GROUP BY n.node, k)
-SELECT node, round(rank * 1e6, 3) AS rank FROM r2"""
-)
-def pagerank(spark, sf_dir):
-    return graphs.pagerank(edges(spark, sf_dir), rounds=2).select("node", F.round(F.col("rank") * 1e6, 3).alias("rank"))
-
-
-@query()
-def pagerank_whole(spark, sf_dir):
-    """Parts and suppliers of all line items, with an edge each way."""
-    g = all_edges(spark, sf_dir)
-    return graphs.pagerank(g.union(g.select("dst", "src"))).select("node", F.round(F.col("rank") * 1e6, 3).alias("rank"))
-
-
-@query("SELECT range AS node, range % 4 AS best FROM range(0, 40)")
+@query("SELECT o_orderkey AS node, min(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS best FROM orders")
 def delta_iterate(spark, sf_dir):
-    """Least numbers reachable by steps of four, from a solution set that deltas lower."""
-    solution = spark.range(0, 40).select(F.col("id").alias("node"), F.col("id").alias("best"))
-    step = lambda df: df.select((F.col("node") + 4).alias("node"), F.col("best").alias("offer")).where("node < 40")
+    """The least price of each order and those of its customer before it, passed on from order to order until nothing falls."""
+    links = catalog_loops.next_orders(spark, sf_dir)
+    solution = flow(spark, sf_dir, "orders").df.select(F.col("o_orderkey").alias("node"), F.col("o_totalprice").alias("best"))
+    step = lambda df: df.join(links, df["node"] == links["src"]).select(F.col("dst").alias("node"), F.col("best").alias("offer"))
     lower = lambda df: df.select("node", F.least("best", F.coalesce("offer", "best")).alias("best"), (F.coalesce("offer", "best") < F.col("best")).alias("changed"))
-    return iteration.delta_iterate(solution, step(solution), 50, "node", lower, step)
+    return iteration.delta_iterate(solution, step(solution), 1000, "node", lower, step)
 
 
 @query("WITH RECURSIVE c(value, v, steps) AS (SELECT range, range, 0 FROM range(1, 2000) UNION ALL SELECT value, CASE WHEN v % 2 = 0 THEN v // 2 ELSE 3 * v + 1 END, steps + 1 FROM c WHERE v > 1) SELECT value, max(steps)::BIGINT AS steps FROM c GROUP BY value ORDER BY steps DESC, value LIMIT 1")
@@ -768,15 +600,6 @@ def collatz(spark, sf_dir):
     return graphs.collatz_longest(spark, 2000)
 
 
-@query()
-def kmeans(spark, sf_dir):
-    """Centroids of the embeddings after five rounds from the ten vectors of least id."""
-    points = flow(spark, sf_dir, "embeddings").df
-    first = [list(map(float, r.embedding)) for r in points.orderBy("vec_id").limit(10).collect()]
-    out = graphs.kmeans(points, "embedding", first, rounds=5)
-    return spark.createDataFrame([(k, [round(x, 6) for x in c]) for k, c in enumerate(out)], "cluster int, centroid array<double>")
-
-
 # Workloads
 
 
@@ -785,22 +608,18 @@ def wordcount(spark, sf_dir):
     return Flow(flow(spark, sf_dir, "documents").df.select(F.explode(fn.tokens("text")).alias("word"))).group_by_fold({"word": "word"}, n="count(*)").df
 
 
-@query("WITH w AS (SELECT doc_id, string_split(item_text, ' ') AS ws FROM (SELECT item_id AS doc_id, lower(text) AS item_text FROM benchmark)), r AS (SELECT doc_id, ws[i] AS word, i FROM w, unnest(range(1, len(ws) + 1)) AS u(i)), n AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY doc_id, i) - 1 AS rn FROM r WHERE word <> ''), s AS (SELECT n.*, win FROM n, unnest(range(greatest(0, ceil((rn - 9) / 5.0)::BIGINT), rn // 5 + 1)) AS u(win)) SELECT word, win, count(*) AS n FROM s GROUP BY word, win HAVING count(*) = 10")
-def wordcount_windowed(spark, sf_dir):
-    words = flow(spark, sf_dir, "benchmark").df.select("item_id", F.posexplode(F.split(F.lower("text"), " ")).alias("i", "word")).where("word <> ''")
-    return Flow(words).to_keyed("word").window(win.CountWindow.sliding(10, 5), ["item_id", "i"]).fold(n="count(*)").df
-
-
 @query("WITH w AS (SELECT doc_id, regexp_split_to_array(lower(text), '\\s+') AS ws FROM documents), r AS (SELECT doc_id, ws[i] AS word, i FROM w, unnest(range(1, len(ws) + 1)) AS u(i)), n AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY doc_id, i) - 1 AS rn FROM r WHERE word <> ''), s AS (SELECT n.*, win FROM n, unnest(range(greatest(0, ceil((rn - 9) / 5.0)::BIGINT), rn // 5 + 1)) AS u(win)) SELECT word, win, count(*) AS n FROM s GROUP BY word, win HAVING count(*) = 10")
-def wordcount_windowed_whole(spark, sf_dir):
+def wordcount_windowed(spark, sf_dir):
     words = flow(spark, sf_dir, "documents").df.select("doc_id", F.posexplode(fn.tokens("text")).alias("i", "word"))
     return Flow(words).to_keyed("word").window(win.CountWindow.sliding(10, 5), ["doc_id", "i"]).fold(n="count(*)").df
 
 
-@query(f"WITH {EVENTS}, c AS (SELECT ts // {DAY} * {DAY} AS win, event_type, count(*) AS n FROM e GROUP BY ALL) SELECT win, event_type, n, row_number() OVER (PARTITION BY win ORDER BY n DESC, event_type)::INT AS place FROM c QUALIFY place <= 3")
+@query(f"WITH {EVENTS}, c AS (SELECT k * {DAY} AS win, event_type, count(*) AS n FROM e, unnest(range(ts // {DAY} - 1, ts // {DAY} + 1)) AS u(k) GROUP BY ALL) SELECT win, event_type, n, row_number() OVER (PARTITION BY win ORDER BY n DESC, event_type)::INT AS place FROM c QUALIFY place <= 3")
 def rolling_top_words(spark, sf_dir):
-    counts = events(spark, sf_dir).to_keyed("event_type").window(win.EventTimeWindow.tumbling(DAY, align="epoch")).fold(n="count(*)").df
-    return ordering.top_k(counts, ["win"], 3, F.desc("n"), F.col("event_type"))
+    """Counts in windows of two days that slide by one, then the first three of each step in a window over all words."""
+    counts = events(spark, sf_dir).to_keyed("event_type").window(win.EventTimeWindow.sliding(2 * DAY, DAY, align="epoch")).fold(n="count(*)").df
+    step = win.EventTimeWindow.tumbling(DAY, ts="win", align="epoch").assign(counts, [], [])
+    return ordering.top_k(step, ["win"], 3, F.desc("n"), F.col("event_type"))
 
 
 @query("SELECT (dayofyear(o_orderdate) // 7)::BIGINT AS week, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS filled FROM orders GROUP BY ALL")
@@ -866,6 +685,19 @@ def nexmark_q4(spark, sf_dir):
     return nexmark.q4(auctions, bids).select("category", F.round("avg_price", 6).alias("avg_price"))
 
 
+@query(f"{_NX} SELECT category, round(avg(price), 6) AS avg_price FROM won GROUP BY category")
+def nexmark_q4_opt(spark, sf_dir):
+    _, auctions, bids = _auction(spark, sf_dir)
+    return nexmark.q4_opt(auctions, bids).select("category", F.round("avg_price", 6).alias("avg_price"))
+
+
+@query(f"{_NX} SELECT auction, category, bidder, price FROM won")
+def commit_after(spark, sf_dir):
+    """Winning bids by transaction windows that each auction opens, to be committed after it expires."""
+    _, auctions, bids = _auction(spark, sf_dir)
+    return nexmark.committed_bids(auctions, bids)
+
+
 @query(f"{_NX}, w AS (SELECT auction, k * {2 * DAY} AS win, count(*) AS n FROM bid, unnest(range(floor((date_time - {10 * DAY}) / {2 * DAY}.0)::BIGINT + 1, date_time // {2 * DAY} + 1)) AS u(k) GROUP BY ALL) SELECT win, auction, n FROM w QUALIFY row_number() OVER (PARTITION BY win ORDER BY n DESC, auction) = 1")
 def nexmark_q5(spark, sf_dir):
     return nexmark.q5(_auction(spark, sf_dir)[2], 10 * DAY, 2 * DAY)

@@ -59,7 +59,8 @@ def fold_scan(df: DataFrame, keys: list[str], **named: Column | str) -> DataFram
     that would sort each key in one task.
     """
     if not keys:
-        return df.join(F.broadcast(df.agg(*_named(named))))  # one row
+        total = df.agg(F.struct(*_named(named)).alias("__total")).scalar()
+        return df.withColumn("__total", total).select(*df.columns, "__total.*")
     total = keyed_fold(df, keys, **named)
     renamed = total.toDF(*[f"__{k}" for k in keys], *named)
     same = None

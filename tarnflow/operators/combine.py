@@ -32,20 +32,30 @@ def unique_by_key(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFr
     return out.select(*keys, "__row.*").select(*df.columns)
 
 
+def ranged(df: DataFrame, order_by: list[str | Column]) -> DataFrame:
+    """Rows dealt out by range of their order, with ``__part``, the number of the range; written, so that ranges stay."""
+    return materialize(df.repartitionByRange(*order_by).withColumn("__part", F.spark_partition_id()), "ranged")
+
+
+def offset_by_part(parts: DataFrame, order_by: list[str | Column], value: str, name: str) -> DataFrame:
+    """``name``: the sum of ``value`` over all rows before, from sums within a range and of the ranges before, of which there is a row each."""
+    from pyspark.sql.window import Window
+
+    sums = parts.groupBy("__part").agg(F.sum(value).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col("__part"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy("__part").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
+    total = F.col("__offset") + F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return parts.join(F.broadcast(offsets), "__part").withColumn(name, total.cast("long")).drop("__part", "__offset")
+
+
 def number_rows(df: DataFrame, order_by: list[str | Column], name: str = "position") -> DataFrame:
     """Rows with their places 0, 1, ... in a total order.
 
     Sorted by range over all partitions; places are offsets of partitions, of which there are few, plus
     places within them. No task sees more than its partition.
     """
-    from pyspark.sql.window import Window
-
-    sorted_ = materialize(df.repartitionByRange(*order_by).withColumn("__part", F.spark_partition_id()), "numbered")
-    sizes = sorted_.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("__part"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))  # one row per partition
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order_by)) - 1
-    return sorted_.join(F.broadcast(offsets), "__part").withColumn(name, (F.col("__offset") + place).cast("long")).drop("__part", "__offset")
+    return offset_by_part(ranged(df.withColumn("__one", F.lit(1)), order_by), order_by, "__one", name).drop("__one")
 
 
 def zip_flows(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:

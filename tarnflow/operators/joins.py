@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Names of strategies and Spark's hints for them. Without one, Spark chooses by size.
-STRATEGIES = {None: None, "hash": "SHUFFLE_HASH", "sort_merge": "MERGE", "broadcast_right": "BROADCAST"}
+#: Names of strategies and Spark's hints for them. Without one, Spark chooses by size. A side that is broadcast is always
+#: looked up by hash: sorting it as well would give the same rows later.
+STRATEGIES = {None: None, "hash": "SHUFFLE_HASH", "sort_merge": "MERGE", "broadcast_right": "BROADCAST", "broadcast_right_sort_merge": "BROADCAST"}
 #: A side is broadcast on request only up to this estimated size.
 MAX_BROADCAST = 256 << 20
 

@@ -1,19 +1,20 @@
 """Running state over ordered rows: SQL frames where they say it, else closures over a sorted stream.
 
 Closures get the rows of a key in order, one by one, with a state of their own for each key. Rows are
-sorted on disk if need be and stream through, so a key of any length needs the memory of its state.
+sorted on disk if need be and stream through, so a key of any length needs the memory of its state. Values are
+Python's own, straight from Arrow: integers of any size stay integers, nulls are None, times carry their zone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnflow.operators.transforms import as_column
+from tarnflow.operators.transforms import arrow_schema, as_column
 
 
 def running(df: DataFrame, keys: list[str], order_by: list[str], **named: Column | str) -> DataFrame:
@@ -22,31 +23,40 @@ def running(df: DataFrame, keys: list[str], order_by: list[str], **named: Column
     return df.select("*", *[as_column(c).over(frame).alias(n) for n, c in named.items()])
 
 
-def rich_flat_map(df: DataFrame, keys: list[str], order_by: list[str], make: Callable[[], Callable[[dict], Iterable[dict]]], schema, at_end: bool = False) -> DataFrame:
-    """``make()`` gives each key a function from a row to rows; with ``at_end`` it is called with None once more after the last row."""
-    ordered = (df.repartition(*keys) if keys else df.coalesce(1)).sortWithinPartitions(*keys, *order_by)
+def _same_key(row: dict, keys: list[str]) -> tuple:
+    """Key values that compare equal to themselves, NaN too."""
+    return tuple("NaN" if row[k] != row[k] else row[k] for k in keys)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def rich_flat_map(df: DataFrame, keys: list[str], order_by: list[str], make: Callable[[], Callable[[dict], Iterable[dict]]], schema, at_end: bool = False, scope: str = "global") -> DataFrame:
+    """``make()`` gives each key a function from a row to rows; with ``at_end`` it is called with None once more after the last row.
+
+    Without keys one function sees all rows in order, in one task. With ``scope='partition'`` each task has a function of
+    its own over its rows instead, which keeps the tasks there are.
+    """
+    dealt = df if scope == "partition" else df.repartition(*keys) if keys else df.repartition(1)
+    ordered = dealt.sortWithinPartitions(*keys, *order_by) if [*keys, *order_by] else dealt
+    out_schema = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, step = None, None
-        names = None
         for batch in batches:
             out: list[dict] = []
-            for row in batch.to_dict("records"):
-                key = tuple(None if pd.isna(row[k]) else row[k] for k in keys)
+            for row in batch.to_pylist():
+                key = _same_key(row, keys)
                 if step is None or key != current:
                     if step is not None and at_end:
                         out += step(None)
                     current, step = key, make()
                 out += step(row)
             if out:
-                names = names or list(out[0])
-                yield pd.DataFrame(out, columns=names)
+                yield pa.RecordBatch.from_pylist(out, out_schema)
         if step is not None and at_end:
             last = list(step(None))
             if last:
-                yield pd.DataFrame(last)
+                yield pa.RecordBatch.from_pylist(last, out_schema)
 
-    return ordered.mapInPandas(run, schema)
+    return ordered.mapInArrow(run, schema)
 
 
 def rich_map(df: DataFrame, keys: list[str], order_by: list[str], make: Callable[[], Callable[[dict], dict]], schema) -> DataFrame:
@@ -110,7 +120,7 @@ def commit_after(df: DataFrame, keys: list[str], order_by: list[str], ts: str, c
                 return emit()
             out = emit() if until[0] is not None and row[ts] > until[0] else []
             rows.append(row)
-            if row[close] is not None and not pd.isna(row[close]):
+            if row[close] is not None:
                 until[0] = row[close]
             return out
 

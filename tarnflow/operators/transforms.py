@@ -6,8 +6,11 @@ import asyncio
 from collections.abc import Awaitable, Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def as_column(x: Column | str) -> Column:
@@ -15,6 +18,11 @@ def as_column(x: Column | str) -> Column:
     return F.expr(x) if isinstance(x, str) else x
 
 
+def arrow_schema(schema: StructType | str) -> pa.Schema:
+    """The Arrow schema of a Spark schema or its DDL."""
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+
 def map_columns(df: DataFrame, keep: list[str] = (), **named: Column | str) -> DataFrame:
     return df.select(*keep, *[as_column(c).alias(n) for n, c in named.items()])
 
@@ -53,7 +61,10 @@ def map_memo(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.Ser
     fields = df.select(*keys).schema
     distinct = df.select(*keys).distinct()
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{name}` {kind}"])
-    done = map_batches(distinct, lambda batch: batch.assign(**{name: fn(batch)}), schema)
+    return _joined_back(df, keys, map_batches(distinct, lambda batch: batch.assign(**{name: fn(batch)}), schema), name)
+
+
+def _joined_back(df: DataFrame, keys: list[str], done: DataFrame, name: str) -> DataFrame:
     renamed = done.toDF(*[f"__{k}" for k in keys], name)
     same = None
     for k in keys:
@@ -63,7 +74,7 @@ def map_memo(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.Ser
 
 
 def map_async(df: DataFrame, fn: Callable[[dict], Awaitable[dict]], schema, concurrency: int = 4) -> DataFrame:
-    """A coroutine per row with at most ``concurrency`` in flight in a task; rows keep their order."""
+    """A coroutine per row with at most ``concurrency`` in flight in a task; rows keep their order, integers and nulls stay what they are."""
 
     async def gather(rows: list[dict]) -> list[dict]:
         gate = asyncio.Semaphore(concurrency)
@@ -74,27 +85,22 @@ def map_async(df: DataFrame, fn: Callable[[dict], Awaitable[dict]], schema, conc
 
         return await asyncio.gather(*(one(r) for r in rows))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out_schema = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                yield pd.DataFrame(asyncio.run(gather(batch.iloc[at : at + 1024].to_dict("records"))))
+            for at in range(0, batch.num_rows, 1024):
+                yield pa.RecordBatch.from_pylist(asyncio.run(gather(batch.slice(at, 1024).to_pylist())), out_schema)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def map_async_memo(df: DataFrame, keys: list[str], fn: Callable[[dict], Awaitable], name: str, kind: str, concurrency: int = 4) -> DataFrame:
-    """``map_memo`` with a coroutine."""
-
-    def each(batch: pd.DataFrame) -> pd.Series:
-        async def gather():
-            gate = asyncio.Semaphore(concurrency)
-
-            async def one(row):
-                async with gate:
-                    return await fn(row)
-
-            return await asyncio.gather(*(one(r) for r in batch.to_dict("records")))
+    """A coroutine of ``keys``, awaited once for each distinct key over the whole cluster and joined back."""
+    distinct = df.select(*keys).distinct()
 
-        return pd.Series(asyncio.run(gather()), index=batch.index)
+    async def each(row: dict) -> dict:
+        return {**row, name: await fn(row)}
 
-    return map_memo(df, keys, each, name, kind)
+    schema = StructType([*distinct.schema.fields, *StructType.fromDDL(f"`{name}` {kind}").fields])
+    return _joined_back(df, keys, map_async(distinct, each, schema, concurrency), name)

@@ -2,7 +2,12 @@
 
 A description adds integer columns to each row for the window it is in (``win``; several rows if it is in
 several windows) and says which windows are complete. Aggregates are Spark's own, so they combine
-before the shuffle.
+before the shuffle. Without keys, rows are ordered by range over all tasks, and what a range needs of those
+before it (a count, a time) is carried in a row per range.
+
+A description of one's own is any object with ``assign(df, keys, order_by)``, which adds ``win``, and
+``complete(out, keys)``, which gets a row per window with its count ``__n``; an accumulator of one's own is any
+aggregate expression, or a function of a window's rows given to ``window_to_arrow``.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnflow.operators.combine import number_rows, offset_by_part, ranged
 from tarnflow.operators.transforms import as_column
 
 
@@ -22,6 +28,13 @@ def _keys(keys: list[str]) -> list[Column]:
     return [F.col(k) for k in keys] or [F.lit(0)]
 
 
+def _numbered(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
+    """Rows with their places in their key; without keys they are numbered by range, in as many tasks as there are."""
+    if not keys:
+        return number_rows(df, order_by, "__rn")
+    return df.withColumn("__rn", (F.row_number().over(Window.partitionBy(*_keys(keys)).orderBy(*order_by)) - 1).cast("long"))
+
+
 @dataclass(frozen=True)
 class CountWindow:
     """``size`` rows of a key in order, a new window every ``slide`` rows.
@@ -44,8 +57,7 @@ class CountWindow:
 
     def assign(self, df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
         slide = min(self.slide, self.size)
-        place = F.row_number().over(Window.partitionBy(*_keys(keys)).orderBy(*order_by)) - 1
-        numbered = df.withColumn("__rn", place.cast("long"))
+        numbered = _numbered(df, keys, order_by)
         first = F.greatest(F.lit(0), F.ceil((F.col("__rn") - self.size + 1) / slide)).cast("long")
         if slide == self.size:
             return numbered.withColumn("win", F.floor(F.col("__rn") / slide).cast("long")).drop("__rn")
@@ -54,7 +66,8 @@ class CountWindow:
     def complete(self, out: DataFrame, keys: list[str]) -> DataFrame:
         if self.exact:
             return out.where(F.col("__n") == self.size)
-        open_ = F.min(F.when(F.col("__n") < self.size, F.col("win"))).over(Window.partitionBy(*_keys(keys)))
+        least = F.min(F.when(F.col("__n") < self.size, F.col("win")))
+        open_ = least.over(Window.partitionBy(*_keys(keys))) if keys else out.agg(least).scalar()
         return out.withColumn("__open", open_).where((F.col("__n") == self.size) | (F.col("win") == F.col("__open"))).drop("__open")
 
 
@@ -65,8 +78,9 @@ class LastKWindow:
     k: int
 
     def assign(self, df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
-        w = Window.partitionBy(*_keys(keys))
-        numbered = df.withColumn("__rn", F.row_number().over(w.orderBy(*order_by)).cast("long") - 1).withColumn("__max", F.count(F.lit(1)).over(w) - 1)
+        rows = F.count(F.lit(1))
+        numbered = _numbered(df, keys, order_by)
+        numbered = numbered.withColumn("__max", (rows.over(Window.partitionBy(*_keys(keys))) if keys else df.agg(rows).scalar()) - 1)
         return numbered.withColumn("win", F.explode(F.sequence(F.col("__rn"), F.least(F.col("__rn") + self.k - 1, F.col("__max"))))).drop("__rn", "__max")
 
     def complete(self, out: DataFrame, keys: list[str]) -> DataFrame:
@@ -112,7 +126,7 @@ class EventTimeWindow:
         if anchors is None:
             anchors = df.groupBy(*keys).agg(F.min(self.ts).alias("__anchor"))
         if not keys:
-            return df.join(F.broadcast(anchors))  # one row
+            return df.withColumn("__anchor", anchors.select("__anchor").scalar())
         named = anchors.toDF(*[f"__{k}" for k in keys], "__anchor")
         same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
         return df.join(named, same).drop(*[f"__{k}" for k in keys])
@@ -142,11 +156,27 @@ class SessionWindow:
     ts: str = "ts"
 
     def assign(self, df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
+        if not keys:
+            return self._all(df)
         w = Window.partitionBy(*_keys(keys)).orderBy(self.ts)
         opens = (F.col(self.ts) - F.lag(self.ts).over(w) > self.gap) | F.lag(self.ts).over(w).isNull()
         begun = df.withColumn("__start", F.when(opens, F.col(self.ts)))
         return begun.withColumn("win", F.last("__start", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__start")
 
+    def _all(self, df: DataFrame) -> DataFrame:
+        """Sessions over all rows: within ranges of time, with the last time and the last start of the ranges before."""
+        parts = ranged(df, [self.ts])
+        inside, before = Window.partitionBy("__part").orderBy(self.ts), Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        ends = parts.groupBy("__part").agg(F.max(self.ts).alias("__end"))
+        ends = ends.select("__part", F.last("__end", True).over(before).alias("__was"))  # a row per range
+        parts = parts.join(F.broadcast(ends), "__part")
+        last = F.coalesce(F.lag(self.ts).over(inside), F.col("__was"))
+        parts = parts.withColumn("__start", F.when(last.isNull() | (F.col(self.ts) - last > self.gap), F.col(self.ts)))
+        starts = parts.groupBy("__part").agg(F.max("__start").alias("__open")).select("__part", F.last("__open", True).over(before).alias("__carried"))
+        parts = parts.join(F.broadcast(starts), "__part")
+        own = F.last("__start", True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        return parts.withColumn("win", F.coalesce(own, F.col("__carried"))).drop("__part", "__was", "__start", "__carried")
+
     def complete(self, out: DataFrame, keys: list[str]) -> DataFrame:
         return out
 
@@ -165,8 +195,10 @@ class TransactionWindow:
     def assign(self, df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
         commits = F.coalesce(as_column(self.commit), F.lit(False))
         ends = commits | F.coalesce(as_column(self.discard), F.lit(False))
-        before = Window.partitionBy(*_keys(keys)).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
         tagged = df.withColumn("__commit", commits).withColumn("__ends", ends.cast("long"))
+        if not keys:
+            return offset_by_part(ranged(tagged, order_by), order_by, "__ends", "win").drop("__ends")
+        before = Window.partitionBy(*_keys(keys)).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
         return tagged.withColumn("win", F.coalesce(F.sum("__ends").over(before), F.lit(0))).drop("__ends")
 
     def complete(self, out: DataFrame, keys: list[str]) -> DataFrame:
@@ -185,7 +217,7 @@ def _framed(df: DataFrame, keys: list[str], window: LastKWindow, order_by: list[
 
 def aggregate(df: DataFrame, keys: list[str], window, order_by: list[str], **named: Column | str) -> DataFrame:
     """``keys, win`` and the aggregates of each complete window."""
-    if isinstance(window, LastKWindow) and (framed := _framed(df, keys, window, order_by, named)) is not None:
+    if keys and isinstance(window, LastKWindow) and (framed := _framed(df, keys, window, order_by, named)) is not None:
         return framed
     assigned = window.assign(df, keys, order_by)
     extra = [F.count(F.lit(1)).alias("__n")]

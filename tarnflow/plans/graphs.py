@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.plans.iteration import fixpoint
-from tarnflow.storage import materialize
+from tarnflow.functions import argmin, squared_distance
+from tarnflow.plans.iteration import delta_iterate, fixpoint
+from tarnflow.storage import discard, materialize
 
 
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
@@ -19,13 +20,64 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
     nodes = materialize(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "nodes")
     n = nodes.count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    last = None
     for _ in range(rounds):
         given = links.join(ranks, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("sum"))
         ranks = nodes.join(given, F.col("node") == F.col("dst"), "left").select("node", (F.lit((1 - damping) / n) + damping * F.coalesce("sum", F.lit(0.0))).alias("rank"))
         ranks = materialize(ranks, "ranks")
+        if last is not None:
+            discard(last)
+        last = ranks
     return ranks
 
 
+def pagerank_stateful(edges: DataFrame, rounds: int = 10, tolerance: float = 1e-8, damping: float = 0.85) -> DataFrame:
+    """``node, before, rank``: ranks of the last round and of the one before it, kept as each node's state.
+
+    Ends early when no rank moves by more than ``tolerance`` of itself. Nodes that nothing leads to have no rank after
+    the first round.
+    """
+    edges = materialize(edges.select("src", "dst"), "edges")
+    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    links = materialize(edges.join(degree, "src"), "links")
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    n = nodes.count()
+    state = materialize(nodes.select("node", F.lit(0.0).alias("before"), F.lit(1.0 / n).alias("rank")), "ranks")
+    for _ in range(rounds):
+        given = links.join(state.select(F.col("node").alias("src"), "rank"), "src").groupBy("dst").agg((F.sum(F.col("rank") / F.col("degree")) * damping + (1 - damping) / n).alias("new"))
+        moved = given.join(state.select("node", F.col("rank").alias("old")), given["dst"] == F.col("node"), "left")
+        old, state = state, materialize(moved.select(F.col("dst").alias("node"), F.coalesce("old", F.lit(0.0)).alias("before"), F.col("new").alias("rank")), "ranks")
+        discard(old)
+        if state.where(F.abs(F.col("rank") - F.col("before")) / F.col("rank") > tolerance).isEmpty():
+            break
+    return state
+
+
+def pagerank_delta(edges: DataFrame, rounds: int = 100, start: int = 6_000_000, jump: int = 1_000_000) -> DataFrame:
+    """``node, rank`` in integers: a rank is ``jump`` and, from each node that leads here, 5 / 6 of its rank over its degree, rounded down.
+
+    Nodes send on only by how much their share has changed, until nothing changes or ``rounds`` have passed.
+    """
+    edges = materialize(edges.select("src", "dst"), "edges")
+    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    share = lambda rank: F.coalesce(F.expr(f"({rank}) * 5 div (6 * degree)"), F.lit(0)).cast("long")
+    first = nodes.join(degree.withColumnRenamed("src", "node"), "node", "left").select("node", "degree", F.lit(start).cast("long").alias("rank"))
+    first = materialize(first.select("node", "degree", "rank", share("rank").alias("share"), share("rank").alias("step")), "ranks")
+
+    def send(changed: DataFrame) -> DataFrame:
+        out = changed.where("step <> 0").select(F.col("node").alias("src"), "step").join(edges, "src")
+        return out.groupBy(F.col("dst").alias("node")).agg(F.sum("step").alias("add"))
+
+    def take(joined: DataFrame) -> DataFrame:
+        moved = joined.withColumn("rank", F.col("rank") + F.coalesce("add", F.lit(0)))
+        moved = moved.withColumn("new", share("rank"))
+        return moved.select("node", "degree", "rank", F.col("new").alias("share"), (F.col("new") - F.col("share")).alias("step"), (F.coalesce("add", F.lit(0)) != 0).alias("changed"))
+
+    opening = send(first).join(first.select("node"), "node", "right").select("node", (F.coalesce("add", F.lit(0)) + jump - start).alias("add"))
+    return delta_iterate(first, opening, rounds, "node", take, send).select("node", "rank")
+
+
 def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """``node, component`` (least node reachable) for every node of the edges ``src, dst``. An edge with a null end links nothing.
 
@@ -85,9 +137,9 @@ def kmeans(points: DataFrame, vector: str, centroids: list[list[float]], rounds:
     """Centroids after Lloyd's rounds, keyed by their index; those that lose all points stay."""
     points = materialize(points.select(F.col(vector).cast("array<double>").alias("v")), "points")
     for _ in range(max(1, rounds)):
-        distance = [F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x) for c in centroids]
-        best = F.least(*distance) if len(distance) > 1 else distance[0]
-        index = F.coalesce(*[F.when(d == best, F.lit(k)) for k, d in enumerate(distance)])
+        places = F.array(*[F.array(*map(F.lit, map(float, c))) for c in centroids])
+        distance = F.transform(places, lambda c: squared_distance(F.col("v"), c))
+        index = F.when(F.col("v").isNotNull(), argmin(distance))
         means = points.withColumn("c", index).groupBy("c").agg(F.array(*[F.avg(F.col("v")[k]) for k in range(len(centroids[0]))]).alias("m")).collect()  # one row per centroid
         moved = list(map(list, centroids))
         for r in means:

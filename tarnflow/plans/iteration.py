@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from tarnflow.storage import materialize
+from tarnflow.storage import discard, materialize
 
 
 def iterate(df: DataFrame, rounds: int, state, body: Callable[[DataFrame, object], DataFrame], fold: Callable[[DataFrame], object], update: Callable[[object, object], object], go_on: Callable[[object], bool] = lambda s: True) -> tuple[object, DataFrame]:
@@ -15,8 +15,12 @@ def iterate(df: DataFrame, rounds: int, state, body: Callable[[DataFrame, object
     After each round ``fold`` makes a small delta of the rows, ``update`` puts it into the state and
     ``go_on`` decides, in this order.
     """
+    last = None
     for _ in range(max(1, rounds)):
         df = materialize(body(df, state), "iterate")
+        if last is not None:
+            discard(last)
+        last = df
         state = update(state, fold(df))
         if not go_on(state):
             break
@@ -44,6 +48,7 @@ def delta_iterate(solution: DataFrame, delta: DataFrame, rounds: int, key: str,
     for _ in range(rounds):
         joined = solution.join(delta, key, "full")
         merged = materialize(merge(joined).select(*names, "changed"), "solution")
+        discard(solution)
         solution = merged.drop("changed")
         changed = merged.where("changed").drop("changed")
         if changed.isEmpty():
@@ -65,4 +70,5 @@ def fixpoint(rows: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame])
         new = materialize(step(known, new).distinct().join(known, known.columns, "left_anti"), "new")
         if new.isEmpty():
             return known
-        known = materialize(known.union(new), "known")
+        before, known = known, materialize(known.union(new), "known")
+        discard(before)

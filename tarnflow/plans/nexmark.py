@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.operators import windows as win
 from tarnflow.operators.aggregates import extreme_element
+from tarnflow.operators.stateful import commit_after, rich_map_custom
 
 #: Columns of the inputs: person(id, name, city, state, date_time), auction(id, seller, category, reserve,
 #: date_time, expires), bid(auction, bidder, price, date_time).
@@ -42,9 +43,66 @@ def q4(auctions: DataFrame, bids: DataFrame) -> DataFrame:
     return winning_bids(auctions, bids).groupBy("category").agg(F.avg("price").alias("avg_price"))
 
 
+def _merged(auctions: DataFrame, bids: DataFrame) -> DataFrame:
+    """Auctions and their bids as one flow of events, an auction before the bids of its time."""
+    opened = auctions.select(F.col("id").alias("auction"), F.lit(0).alias("kind"), F.col("date_time").alias("ts"), "category", "reserve", "expires", F.lit(None).cast("long").alias("bidder"), F.lit(None).cast("long").alias("price"))
+    none = F.lit(None).cast("long")
+    made = bids.select("auction", F.lit(1).alias("kind"), F.col("date_time").alias("ts"), none.alias("category"), none.alias("reserve"), none.alias("expires"), "bidder", "price")
+    return opened.unionByName(made)
+
+
+def _better(bid: dict, best: dict | None) -> bool:
+    return best is None or (-bid["price"], bid["ts"], bid["bidder"]) < (-best["price"], best["ts"], best["bidder"])
+
+
+def q4_opt(auctions: DataFrame, bids: DataFrame) -> DataFrame:
+    """q4 in one pass over the events of each auction, by a closure that keeps the auction and its best bid so far."""
+
+    def make():
+        auction: list[dict] = []
+        best: list[dict | None] = [None]
+
+        def step(row):
+            if row is None:
+                return [{"category": auction[0]["category"], "price": best[0]["price"]}] if best[0] else []
+            if row["kind"] == 0:
+                auction.append(row)
+            elif auction and row["price"] >= auction[0]["reserve"] and auction[0]["ts"] <= row["ts"] < auction[0]["expires"] and _better(row, best[0]):
+                best[0] = row
+            return []
+
+        return step
+
+    won = rich_map_custom(_merged(auctions, bids), ["auction"], ["ts", "kind"], make, "category long, price long")
+    return won.groupBy("category").agg(F.avg("price").alias("avg_price"))
+
+
+def committed_bids(auctions: DataFrame, bids: DataFrame) -> DataFrame:
+    """Winning bids by transaction windows: an auction sets the time after which the window of its events commits."""
+
+    def fold(rows: list[dict]) -> dict | None:
+        auction = next((r for r in rows if r["kind"] == 0), None)
+        best = None
+        for r in rows:
+            if auction and r["kind"] == 1 and r["price"] >= auction["reserve"] and auction["ts"] <= r["ts"] < auction["expires"] and _better(r, best):
+                best = r
+        return best and {"auction": best["auction"], "category": auction["category"], "bidder": best["bidder"], "price": best["price"]}
+
+    return commit_after(_merged(auctions, bids), ["auction"], ["ts", "kind"], "ts", "expires", "auction long, category long, bidder long, price long", fold)
+
+
 def q5(bids: DataFrame, size: int, slide: int) -> DataFrame:
-    """The auction with most bids in each sliding window; of equal ones the least id."""
-    counts = win.aggregate(bids.withColumnRenamed("date_time", "ts"), ["auction"], win.EventTimeWindow(size, slide, align="epoch"), [], n="count(*)")
+    """The auction with most bids in each sliding window; of equal ones the least id.
+
+    Bids are counted by slide first; only these counts are spread over the windows.
+    """
+    if size % slide:
+        counts = win.aggregate(bids.withColumnRenamed("date_time", "ts"), ["auction"], win.EventTimeWindow(size, slide, align="epoch"), [], n="count(*)")
+    else:
+        step = F.floor(F.col("date_time") / slide).cast("long")
+        parts = bids.groupBy("auction", step.alias("step")).agg(F.count(F.lit(1)).alias("part"))
+        spread = parts.select("auction", "part", F.explode(F.sequence(F.col("step") - size // slide + 1, F.col("step"))).alias("k"))
+        counts = spread.groupBy("auction", (F.col("k") * slide).alias("win")).agg(F.sum("part").alias("n"))
     return counts.groupBy("win").agg(F.max(F.struct("n", (-F.col("auction")).alias("a"))).alias("m")).select("win", (-F.col("m.a")).alias("auction"), F.col("m.n").alias("n"))
 
 
