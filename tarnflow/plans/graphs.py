@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.functions import argmin, squared_distance
+from tarnflow.functions import squared_distance
 from tarnflow.plans.iteration import delta_iterate, fixpoint
 from tarnflow.storage import discard, materialize
 
@@ -137,14 +137,14 @@ def kmeans(points: DataFrame, vector: str, centroids: list[list[float]], rounds:
     """Centroids after Lloyd's rounds, keyed by their index; those that lose all points stay."""
     points = materialize(points.select(F.col(vector).cast("array<double>").alias("v")), "points")
     for _ in range(max(1, rounds)):
-        places = F.array(*[F.array(*map(F.lit, map(float, c))) for c in centroids])
-        distance = F.transform(places, lambda c: squared_distance(F.col("v"), c))
-        index = F.when(F.col("v").isNotNull(), argmin(distance))
-        means = points.withColumn("c", index).groupBy("c").agg(F.array(*[F.avg(F.col("v")[k]) for k in range(len(centroids[0]))]).alias("m")).collect()  # one row per centroid
-        moved = list(map(list, centroids))
+        places = F.expr("array(" + ", ".join("array(" + ", ".join(f"double('{float(x)!r}')" for x in c) + ")" for c in centroids) + ")")
+        near = F.array_min(F.transform(places, lambda c, k: F.struct(squared_distance(F.col("v"), c).alias("d"), k.alias("k"))))["k"]
+        spread = points.select("v", near.alias("c")).select("c", F.posexplode("v").alias("d", "x"))
+        means = spread.groupBy("c", "d").agg(F.avg("x").alias("m")).collect()  # one row per centroid and dimension
+        moved = [list(map(float, c)) for c in centroids]
         for r in means:
             if r.c is not None:
-                moved[r.c] = r.m
+                moved[r.c][r.d] = r.m
         shift = max(sum((a - b) ** 2 for a, b in zip(x, y, strict=True)) for x, y in zip(moved, centroids, strict=True))
         centroids = moved
         if shift <= tolerance:
