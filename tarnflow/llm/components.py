@@ -59,4 +59,6 @@ def connected_components(edges: DataFrame, few: int = 400_000) -> DataFrame:
         total = pick.join(later, "pick", "left").select("node", F.coalesce("last", "pick").alias("pick"))
     total = cut(total, "roots")
     low = total.groupBy("pick").agg(F.min("node").alias("component"))
-    return cut(total.join(low, "pick").select("node", "component"), "components")
+    out = cut(total.join(low, "pick").select("node", "component"), "components")
+    discard(total, both, *picks)
+    return out

@@ -57,9 +57,8 @@ def _item_windows(ngram: int, kgram: int):
 class Index:
     """Item windows by length, for looking up the windows of a batch of texts."""
 
-    def __init__(self, item: list[str], m: np.ndarray, fp: np.ndarray, h: np.ndarray):
-        self.names = sorted(set(item))
-        code = np.searchsorted(np.asarray(self.names, object), np.asarray(item, object)) if item else np.zeros(0, np.int64)
+    def __init__(self, names: list[str], code: np.ndarray, m: np.ndarray, fp: np.ndarray, h: np.ndarray):
+        self.names = names
         self.by_length = {}
         for length in sorted(set(m.tolist())):
             own = m == length
@@ -149,7 +148,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(words.count, pa.int64())], ["id", "key", "n_words"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", ngram: int = 10, kgram: int = 4, max_index_rows: int = 2_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", ngram: int = 10, kgram: int = 4, max_index_rows: int = 2_000_000, max_name_bytes: int = 16 << 20) -> DataFrame:
     """Per document: ``id, n_words, n_hit, items`` (sorted ids of the items with occurring windows).
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. An item's windows are its
@@ -157,8 +156,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     Null texts have no words; items with a null id are left out; repeated rows each give a row;
     empty tables give no rows or no hits; other columns are ignored.
 
-    Up to ``max_index_rows`` item windows (about 60 bytes each) are sent to every executor and looked
-    up while the texts stream by. Beyond, fingerprints of both sides are joined by a shuffle.
+    Up to ``max_index_rows`` item windows, of 24 bytes each, with up to ``max_name_bytes`` of item ids are sent to
+    every executor and looked up while the texts stream by. Beyond, fingerprints of both sides are joined by a
+    shuffle. Texts are read whole; memory follows the longest.
     """
     bound_batches(docs.sparkSession)
     if not 1 <= kgram <= ngram:
@@ -170,8 +170,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     head = windows.limit(max_index_rows + 1).toArrow()
     id_type = source.limit(0).toArrow().schema.field("id").type
     schema = f"id {source.schema['id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>"
-    if head.num_rows <= max_index_rows:
-        sent = spark.sparkContext.broadcast((head["item"].to_pylist(), head["m"].to_numpy(), head["fp"].to_numpy().view(U64), head["h"].to_numpy().view(U64)))
+    codes = head["item"].combine_chunks().dictionary_encode()
+    names = codes.dictionary.to_pylist()
+    if head.num_rows <= max_index_rows and sum(map(len, names)) <= max_name_bytes:
+        place = np.argsort(np.argsort(np.array(names, object))) if names else np.zeros(0, np.int64)  # codes in the order of names
+        sent = spark.sparkContext.broadcast((sorted(names), place[codes.indices.to_numpy()].astype(np.int32), head["m"].to_numpy(), head["fp"].to_numpy().view(U64), head["h"].to_numpy().view(U64)))
         return source.mapInArrow(_score(lambda: Index(*sent.value), ngram, kgram, id_type), schema)
 
     windows = cut(windows, "item-windows")
@@ -198,6 +201,7 @@ EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items, by windows of ten words."""
     out = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select(
         F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.llm.components import connected_components
 from tarnflow.llm.grouping import dealt, grouped, smallest_reachable
-from tarnflow.llm.storage import cut
+from tarnflow.llm.storage import cut, discard
 
 
 #: Bits of a signature.
@@ -229,13 +229,14 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     are null, empty, zero or hold a null or non-finite component, and rows with a null id, link with
     nothing; vectors of different length neither. Equal vectors are one class and count each by its size;
     repeated rows each give a row and count as vectors; rows that share an id but not
-    their vector share their links. Empty tables give no rows; other columns are ignored. Ids are integers, or
-    strings that hold such; others raise an error.
+    their vector share their links. Empty tables give no rows; other columns are ignored. Ids are integers.
 
     Buckets of more than ``block`` classes are dealt into blocks and all pairs of blocks become tasks of their own.
     """
     if not 0 < threshold < 1:
         raise ValueError("threshold must be between 0 and 1")
+    if vectors.schema[vec_id].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{vec_id} must hold integers")
     given = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("embedding"))
     if given.schema["embedding"].dataType.elementType.typeName() != "float":
         given = given.withColumn("embedding", F.col("embedding").cast("array<double>"))
@@ -257,6 +258,7 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     groups = cut(rows.mapInArrow(_gather(bits_of, seed, most), "t int, p int, q int, head long, cid long, own int"), "groups")
     sent = groups.join(signed.select("cid", "rep", "size", "dims", "vec", "sign"), "cid")
     links = cut(dealt(sent, "t", "p", "q", "head").mapInArrow(_compare(bits_of, seed, threshold, most), "rep long, add long, low long"), "links")
+    discard(signed, large, groups)
     counts = links.groupBy("rep").agg(F.sum("add").alias("add"))
     parts = connected_components(links.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     judged = classes.select("vec", "rep", "size").join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
@@ -267,6 +269,7 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
 
 
 def op1_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """All vectors with their links, component and whether they stand for it, as the contract has it."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 

@@ -251,5 +251,6 @@ def extract_main_text(pages: DataFrame, *, html: str = "html") -> DataFrame:
 
 
 def op2_html_extraction(spark, sf_dir: str) -> DataFrame:
+    """All pages with their main text."""
     out = extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     return out.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))

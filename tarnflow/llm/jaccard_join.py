@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.llm.components import connected_components
 from tarnflow.llm.grouping import dealt, grouped
-from tarnflow.llm.storage import cut
+from tarnflow.llm.storage import cut, discard
 from tarnflow.llm.textbytes import NOT_SPACE, U64, Prefix, Words, mix, pieces, text_bytes
 
 #: Minimum hashes kept per set, from which each band picks some.
@@ -326,7 +326,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     blocks = F.greatest(F.ceil(F.col("sets") / block), F.ceil(F.col("tokens") / block_tokens)).cast("int")
     wanted = members.join(sizes.select("part", blocks.alias("blocks")), "part").select("k1", "k2", "rep", F.col("low").alias("id"), "part", "blocks")
     texts = given.where("id is not null").join(wanted, "id")
-    rows = cut(texts.select("rep", "part", "blocks", "k1", "k2", "text").mapInArrow(_tokens(words_each), "rep long, part long, blocks int, tokens binary"), "part-sets")
+    tokens = rows = cut(texts.select("rep", "part", "blocks", "k1", "k2", "text").mapInArrow(_tokens(words_each), "rep long, part long, blocks int, tokens binary"), "part-sets")
     again = cut(rows.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rep"), "repeated-sets")
     if not again.isEmpty():  # repeated rows of one id and text
         rows = rows.join(again, "rep", "left_anti").unionByName(rows.join(again, "rep", "left_semi").dropDuplicates(["rep"]))
@@ -342,6 +342,8 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
         named = large.join(so_far.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         named = cut(named.select("rep", "label", "tokens"), "labelled-sets")
         links = links.union(_linked(_contested(sets.select("rep", "n", F.explode("bands").alias("h")), named, num, den, block), num, den))
+        discard(named)
+    discard(members, tokens, again)
     final = connected_components(links)
     by_set = sets.select("k1", "k2", "rep", "low").join(final.select(F.col("node").alias("rep"), F.col("component").alias("group")), "rep", "left").select("k1", "k2", "low", F.coalesce("group", "rep").alias("group"))
     by_set = cut(by_set, "set-groups")

@@ -223,6 +223,7 @@ COPY_SIMILARITY = (80, 100)
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """All documents without lines of ten sites or more, but for documents shown to be copies."""
     out = remove_spread_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), similarity=COPY_SIMILARITY)
     return out.select("row.doc_id", "n_lines", "n_removed", "text")
 

@@ -1,4 +1,9 @@
-"""Stages of the corpus pipeline: each takes ``(spark, docs, sf_dir)`` and keeps the columns of ``documents``."""
+"""Stages of the corpus pipeline: each takes ``(spark, docs, sf_dir)`` and keeps the columns of ``documents``.
+
+In all of them null texts have no words and aren't toxic by themselves, rows with a null id are judged by their text like others
+unless a stage says otherwise, repeated rows are judged alike, texts are taken whole, empty tables give no rows, and
+columns beside those of ``documents``, whatever their names, are carried along.
+"""
 
 from __future__ import annotations
 

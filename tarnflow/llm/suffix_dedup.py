@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from tarnflow.llm.grouping import dealt, grouped
-from tarnflow.llm.storage import cut
+from tarnflow.llm.storage import cut, discard
 from tarnflow.llm.textbytes import U64, byte_prefix, pieces, sliding_min, text_bytes
 
 #: Starts handled at a time, and the bits that hold a place among them.
@@ -314,6 +314,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     many = listed.mapInArrow(_join_ranges, f"anchor long, seg long, ranges {_RANGES}")
     whole = classes.where("copies > 1").select("anchor", "seg", F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b"))).alias("ranges"))
     covered = cut(whole.unionByName(some.unionByName(many).join(whole, ["anchor", "seg"], "left_anti")), "covered")
+    discard(classes, several, near, found, strings)
 
     spans = runs.join(covered, ["anchor", "seg"]).select("k1", "k2", "start", F.explode("ranges").alias("r"))
     spans = spans.select("k1", "k2", F.struct((F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b")).alias("s")).groupBy("k1", "k2").agg(F.collect_set("s").alias("spans"))
@@ -323,5 +324,6 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
 
 def op5_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
+    """All documents with what repeats of 400 bytes take from them, as the contract has it."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -246,6 +246,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
+    """All documents scored by a model of the labels outside the held-out fold."""
     out = toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     doc_id = F.col("row.doc_id")
     return out.select(doc_id, held_out(doc_id).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
