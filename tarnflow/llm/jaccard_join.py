@@ -2,7 +2,7 @@
 
 Equal shingle sets are one set. Sets that share a band of minimum hashes are gathered into candidate
 components, small enough for one task or dealt into blocks. What is apart after that in a large component meets
-only where it shares a band and a range of sizes. Within a task the sets are the leaves of
+block by block, or only where it shares a band and a range of sizes if that sends less. Within a task the sets are the leaves of
 a tree whose nodes hold the OR of the token bitmaps below and the range of set sizes; a traversal of
 pairs of nodes drops those whose largest possible overlap is too small, and the pairs of leaves that
 are left are compared exactly unless they are linked already.
@@ -268,25 +268,36 @@ def _linked(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _contested(bands: DataFrame, named: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """Where sets with different labels share a band and a range of sizes: ``part, p, q, rep, label, tokens``.
+    """Where sets of one large component that have different labels are to meet: ``part, p, q, rep, label, tokens``.
 
-    ``bands``: rep, n, h; ``named``: rep, label, tokens. Sets that can link differ in size by less than one step, so each is in the
-    range of its size and the next. The sets of the most frequent label of a place are dealt into blocks, and
-    each of the others meets all blocks; only ids are sent until it is known what meets.
+    ``bands``: rep, n, h; ``named``: part, rep, label, tokens. Each component takes the way that sends fewer rows: through the places where
+    its sets share a band and a range of sizes, or as one place. Sets that can link differ in size by less than one
+    step, so each is in the range of its size and the next. The sets of the most frequent label of a place are dealt into blocks, and
+    each of the others meets all blocks. Only ids are sent until it is known what meets.
     """
+    labels = named.select("rep", "part", "label")
     step = F.floor(F.log("n") / math.log(den / num)) if num < den else F.col("n")
-    ranges = F.explode(F.array(step, step + 1)).alias("c")
-    at = bands.join(named.select("rep", "label"), "rep").select(F.col("h"), "rep", "label", ranges)
-    held = at.groupBy("h", "c", "label").agg(F.count(F.lit(1)).alias("n"))
-    size = lambda c, name: F.ceil(c / block).cast("int").alias(name)
-    main = held.groupBy("h", "c").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
-    main = cut(main.select("h", "c", "main", size(F.col("all"), "blocks"), size(F.col("all") - F.col("most"), "sides")), "contested-bands")
-    both = at.join(main, ["h", "c"]).withColumn("part", F.xxhash64("h", "c"))  # two places under one number only compare more
-    place = lambda k: F.pmod(F.xxhash64(F.lit(3), F.col("rep")), F.col(k)).cast("int")
+    banded = bands.join(labels, "rep").select("part", "rep", "label", "h", F.explode(F.array(step, step + 1)).alias("c"))
+    banded = banded.select("part", "rep", "label", F.xxhash64("h", "c").alias("place"))  # two places under one number only compare more
+    whole = labels.select("part", "rep", "label", F.col("part").alias("place"))
+
+    def meetings(rows: DataFrame, label: str) -> DataFrame:
+        held = rows.groupBy("part", "place", "label").agg(F.count(F.lit(1)).alias("n"))
+        size = held.groupBy("part", "place").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
+        dealt_ = size.select("*", F.ceil(F.col("all") / block).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("sides"))
+        return cut(dealt_.select("part", "place", "main", "blocks", "sides", F.expr("(all - most) * blocks + all * sides").alias("sent")), label)
+
+    by_band, at_once = meetings(banded, "met-in-bands"), meetings(whole, "met-at-once")
+    costs = by_band.groupBy("part").agg(F.sum("sent").alias("in_bands"))
+    fewer = at_once.join(costs, "part", "left").where("coalesce(in_bands, 0) < sent").select("part")
+    fewer = cut(fewer, "parts-by-band")
+    both = banded.join(by_band.join(fewer, "part", "left_semi"), ["part", "place"]).unionByName(whole.join(at_once.join(fewer, "part", "left_anti"), ["part", "place"]))
+    spot = lambda k: F.pmod(F.xxhash64(F.lit(3), F.col("rep")), F.col(k)).cast("int")
     to = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    apart = both.where("label <> main").select("part", "rep", place("sides").alias("p"), to("blocks").alias("q"))
-    all_ = both.select("part", "rep", to("sides").alias("p"), place("blocks").alias("q"))
-    return apart.unionByName(all_).distinct().join(named.select("rep", "label", "tokens"), "rep")
+    apart = both.where("label <> main").select("place", "rep", spot("sides").alias("p"), to("blocks").alias("q"))
+    all_ = both.select("place", "rep", to("sides").alias("p"), spot("blocks").alias("q"))
+    ids = apart.unionByName(all_).distinct().withColumnRenamed("place", "part")
+    return ids.join(named.select("rep", "label", "tokens"), "rep")
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words_each: int = 3, threshold: tuple[int, int] = (90, 100), block: int = 2048, block_tokens: int = 4_000_000, miss: float = 1e-6, seed: int = 5) -> DataFrame:
@@ -304,8 +315,8 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
     A pair at the threshold shares no band with a chance of at most ``miss``, closer pairs with far less.
     Components of more than ``block`` sets or ``block_tokens`` tokens are
-    dealt into blocks twice, at random, and linked within blocks; what has another label than the rest of a band
-    then is compared within that band.
+    dealt into blocks twice, at random, and linked within blocks; what has another label than the rest of its
+    component, or of a band of it, is then compared with that rest.
     """
     num, den = threshold
     if docs.schema[doc_id].dataType.typeName() not in ("byte", "short", "integer", "long"):
@@ -325,7 +336,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     sizes = members.groupBy("part").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens"))
     blocks = F.greatest(F.ceil(F.col("sets") / block), F.ceil(F.col("tokens") / block_tokens)).cast("int")
     wanted = members.join(sizes.select("part", blocks.alias("blocks")), "part").select("k1", "k2", "rep", F.col("low").alias("id"), "part", "blocks")
-    texts = given.where("id is not null").join(wanted, "id")
+    texts = given.where("id is not null").join(wanted.hint("merge"), "id")  # one way at every size
     tokens = rows = cut(texts.select("rep", "part", "blocks", "k1", "k2", "text").mapInArrow(_tokens(words_each), "rep long, part long, blocks int, tokens binary"), "part-sets")
     again = cut(rows.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rep"), "repeated-sets")
     if not again.isEmpty():  # repeated rows of one id and text
@@ -340,7 +351,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
             links = links.union(_linked(large.select("*", own.alias("p"), zero.alias("q"), F.col("rep").alias("label")), num, den))
         so_far = connected_components(links)
         named = large.join(so_far.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        named = cut(named.select("rep", "label", "tokens"), "labelled-sets")
+        named = cut(named.select("part", "rep", "label", "tokens"), "labelled-sets")
         links = links.union(_linked(_contested(sets.select("rep", "n", F.explode("bands").alias("h")), named, num, den, block), num, den))
         discard(named)
     discard(members, tokens, again)
