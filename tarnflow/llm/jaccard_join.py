@@ -2,7 +2,7 @@
 
 Equal shingle sets are one set. Sets that share a band of minimum hashes are gathered into candidate
 components, small enough for one task or dealt into blocks. What is apart after that in a large component meets
-block by block, or only where it shares a band and a range of sizes if that sends less. Within a task the sets are the leaves of
+block by block, or only where it shares a band and a range of sizes if there are many blocks and that sends less. Within a task the sets are the leaves of
 a tree whose nodes hold the OR of the token bitmaps below and the range of set sizes; a traversal of
 pairs of nodes drops those whose largest possible overlap is too small, and the pairs of leaves that
 are left are compared exactly unless they are linked already.
@@ -26,6 +26,8 @@ from tarnflow.llm.textbytes import NOT_SPACE, U64, Prefix, Words, mix, pieces, t
 #: Minimum hashes kept per set, from which each band picks some.
 _BASE = 128
 _FANOUT = 16
+#: A large component is compared as a whole while that sends no more than so many rows for each of its sets.
+_TIMES = 16
 
 
 class Shingles:
@@ -270,27 +272,28 @@ def _linked(rows: DataFrame, num: int, den: int) -> DataFrame:
 def _contested(bands: DataFrame, named: DataFrame, num: int, den: int, block: int) -> DataFrame:
     """Where sets of one large component that have different labels are to meet: ``part, p, q, rep, label, tokens``.
 
-    ``bands``: rep, n, h; ``named``: part, rep, label, tokens. Each component takes the way that sends fewer rows: through the places where
-    its sets share a band and a range of sizes, or as one place. Sets that can link differ in size by less than one
+    ``bands``: rep, n, bands; ``named``: part, rep, label, tokens. A component is one place, or, if that would send more than ``_TIMES`` rows
+    a set and they send fewer, its places are where sets share a band and a range of sizes. Sets that can link differ in size by less than one
     step, so each is in the range of its size and the next. The sets of the most frequent label of a place are dealt into blocks, and
     each of the others meets all blocks. Only ids are sent until it is known what meets.
     """
-    labels = named.select("rep", "part", "label")
-    step = F.floor(F.log("n") / math.log(den / num)) if num < den else F.col("n")
-    banded = bands.join(labels, "rep").select("part", "rep", "label", "h", F.explode(F.array(step, step + 1)).alias("c"))
-    banded = banded.select("part", "rep", "label", F.xxhash64("h", "c").alias("place"))  # two places under one number only compare more
-    whole = labels.select("part", "rep", "label", F.col("part").alias("place"))
+    whole = named.select("part", "rep", "label", F.col("part").alias("place"))
 
     def meetings(rows: DataFrame, label: str) -> DataFrame:
         held = rows.groupBy("part", "place", "label").agg(F.count(F.lit(1)).alias("n"))
         size = held.groupBy("part", "place").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
         dealt_ = size.select("*", F.ceil(F.col("all") / block).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("sides"))
-        return cut(dealt_.select("part", "place", "main", "blocks", "sides", F.expr("(all - most) * blocks + all * sides").alias("sent")), label)
+        return cut(dealt_.select("part", "place", "main", "all", "blocks", "sides", F.expr("(all - most) * blocks + all * sides").alias("sent")), label)
 
-    by_band, at_once = meetings(banded, "met-in-bands"), meetings(whole, "met-at-once")
+    at_once = meetings(whole, "met-at-once")
+    many = at_once.where(F.col("sent") > _TIMES * F.col("all")).select("part", "sent")
+    step = F.floor(F.log("n") / math.log(den / num)) if num < den else F.col("n")
+    banded = bands.join(named.select("rep", "part", "label").join(many.select("part"), "part", "left_semi"), "rep")
+    banded = banded.select("part", "rep", "label", F.explode("bands").alias("h"), step.alias("step")).select("part", "rep", "label", "h", F.explode(F.array("step", F.col("step") + 1)).alias("c"))
+    banded = banded.select("part", "rep", "label", F.xxhash64("h", "c").alias("place"))  # two places under one number only compare more
+    by_band = meetings(banded, "met-in-bands")
     costs = by_band.groupBy("part").agg(F.sum("sent").alias("in_bands"))
-    fewer = at_once.join(costs, "part", "left").where("coalesce(in_bands, 0) < sent").select("part")
-    fewer = cut(fewer, "parts-by-band")
+    fewer = cut(many.join(costs, "part", "left").where("coalesce(in_bands, 0) < sent").select("part"), "parts-by-band")
     both = banded.join(by_band.join(fewer, "part", "left_semi"), ["part", "place"]).unionByName(whole.join(at_once.join(fewer, "part", "left_anti"), ["part", "place"]))
     spot = lambda k: F.pmod(F.xxhash64(F.lit(3), F.col("rep")), F.col(k)).cast("int")
     to = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
@@ -352,7 +355,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
         so_far = connected_components(links)
         named = large.join(so_far.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         named = cut(named.select("part", "rep", "label", "tokens"), "labelled-sets")
-        links = links.union(_linked(_contested(sets.select("rep", "n", F.explode("bands").alias("h")), named, num, den, block), num, den))
+        links = links.union(_linked(_contested(sets.select("rep", "n", "bands"), named, num, den, block), num, den))
         discard(named)
     discard(members, tokens, again)
     final = connected_components(links)

@@ -408,8 +408,9 @@ def test_jaccard_takes_integer_ids_only(spark):
         jaccard_join.jaccard_components(df)
 
 
-def test_jaccard_splits_large_components(spark):
-    """A chain of template texts whose candidates hang together while few of them link; blocks of 16 sets."""
+@pytest.mark.parametrize("times", [16, 1])
+def test_jaccard_splits_large_components(spark, monkeypatch, times):
+    """With either way to compare what is apart. A chain of template texts whose candidates hang together while few of them link; blocks of 16 sets."""
     rng = np.random.default_rng(8)
     base = [f"t{k}" for k in range(60)]
     rows = []
@@ -419,5 +420,6 @@ def test_jaccard_splits_large_components(spark):
             words[at] = f"v{rng.integers(0, 4)}"
         rows.append((k, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "_TIMES", times)
     got = sorted((r.id, r.n_shingles, r.component) for r in jaccard_join.jaccard_components(df, block=16).collect())
     assert got == sorted(brute_jaccard(rows, 3, 90, 100))
