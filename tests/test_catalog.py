@@ -68,7 +68,7 @@ def test_components_of_the_whole_graph(spark, duck):
     for a, b in pairs:
         a, b = sorted((find(a), find(b)))
         root[b] = a
-    got = {r.node: r.component for r in catalog.QUERIES["connected_components_whole"](spark, SF).collect()}
+    got = {r.node: r.component for r in catalog.QUERIES["connected_components_hubs"](spark, SF).collect()}
     assert got == {x: find(x) for x in root} and duck.execute("SELECT count(DISTINCT l_partkey) + count(DISTINCT l_suppkey) FROM lineitem").fetchone()[0] == len(got)
 
 
@@ -82,12 +82,12 @@ def test_pagerank_of_the_whole_graph(spark, duck):
     degree, rank = np.bincount(src), np.full(len(nodes), 1 / len(nodes))
     for _ in range(10):
         rank = 0.15 / len(nodes) + 0.85 * np.bincount(dst, rank[src] / degree[src], len(nodes))
-    got = {r.node: r.rank for r in catalog.QUERIES["pagerank_whole"](spark, SF).collect()}
+    got = {r.node: r.rank for r in catalog.QUERIES["pagerank"](spark, SF).collect()}
     assert set(got) == set(nodes.tolist()) and np.allclose([got[k] for k in nodes.tolist()], rank * 1e6, atol=2e-3)
 
 
 def test_joins_of_whole_tables(spark, duck):
     """No customer and no order is left out of a full join."""
-    for name in ("join_full_whole", "keyed_join_outer_whole"):
+    for name in ("join_full", "keyed_join_outer"):
         out = catalog.QUERIES[name](spark, SF).selectExpr("count(distinct c)", "count(distinct r_o)", "count_if(c is null) > 0", "count_if(r_o is null) > 0").first()
         assert tuple(out) == (*duck.execute("SELECT (SELECT count(*) FROM customer), (SELECT count(*) FROM orders)").fetchone(), True, True)

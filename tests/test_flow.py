@@ -273,3 +273,40 @@ def test_avro(engine, tmp_path):
 def test_missing_packages_say_so(engine):
     with pytest.raises(RuntimeError, match="class path"):
         engine.kafka("localhost:9092", ["t"])
+
+
+def test_closures_keep_integers_and_nulls(engine):
+    """Values above 2 ** 53 and nulls in one batch, for closures with state, folds and coroutines."""
+    big = 9007199254740993
+    rows = engine.rows([(1, big, None), (1, big + 2, big + 4), (None, None, big)], "k long, v long, w long")
+    same = lambda: lambda row: dict(row)
+    got = sorted((tuple(r) for r in rows.to_keyed("k").rich_map(["v"], same, "k long, v long, w long").df.collect()), key=str)
+    assert got == sorted([(1, big, None), (1, big + 2, big + 4), (None, None, big)], key=str)
+
+    async def pass_on(row):
+        return row
+
+    assert sorted((tuple(r) for r in rows.map_async(pass_on, "k long, v long, w long").df.collect()), key=str) == got
+    folded = rows.to_keyed("k").fold_rows(["v"], int, lambda s, r: s + (r["w"] or 0), lambda s: {"total": s}, "k long, total long")
+    assert {r.k: r.total for r in folded.df.collect()} == {1: big + 4, None: big}
+
+
+def test_unkeyed_windows_run_in_several_tasks(engine):
+    """The plan of a window over all rows has no single partition for the rows."""
+    flow = engine.integers(0, 5000, 4)
+    spark = flow.df.sparkSession
+    out = flow.window_all(win.CountWindow.tumbling(10), ["value"]).fold(n="count(*)", low="min(value)").df
+    assert {(r.win, r.n, r.low) for r in out.collect()} == {(k, 10, 10 * k) for k in range(500)}
+    plan = flow.window_all(win.LastKWindow(2), ["value"]).fold(n="count(*)").df._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(0," not in plan and spark is not None
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    """Without ``spark.checkpoint.dir`` a session on several machines is an error."""
+    from types import SimpleNamespace
+
+    from tarnflow.storage import shared_dir
+
+    there = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", applicationId="a"))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(there)
