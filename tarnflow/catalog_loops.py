@@ -94,13 +94,13 @@ def pagerank_delta(spark, sf_dir):
 _LLOYD = "a{b} AS MATERIALIZED (SELECT vec_id, any_value(v.e) AS e, arg_min(k, (list_distance(v.e, c.e), k)) AS k FROM v, c{a} AS c GROUP BY vec_id), c{b} AS MATERIALIZED (SELECT c.k, coalesce(m.e, c.e) AS e FROM c{a} AS c LEFT JOIN (SELECT k, list(x ORDER BY d) AS e FROM (SELECT k, d, avg(e[d]) AS x FROM a{b}, range(1, 65) AS r(d) GROUP BY k, d) GROUP BY k) m USING (k))"
 
 
-@query("WITH v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, e FROM v ORDER BY vec_id LIMIT 10), " + ", ".join(_LLOYD.format(a=n, b=n + 1) for n in range(5)) + " SELECT k::INT AS cluster, list_transform(e, lambda x: round(x, 6)) AS centroid FROM c5")
+@query("WITH v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, e FROM v ORDER BY vec_id LIMIT 10), " + ", ".join(_LLOYD.format(a=n, b=n + 1) for n in range(5)) + " SELECT k::INT AS cluster, d::INT AS dim, round(e[d + 1], 6) AS value FROM c5, range(0, 64) AS r(d)")
 def kmeans(spark, sf_dir):
     """Centroids of the embeddings after five rounds from the ten vectors of least id."""
     points = flow(spark, sf_dir, "embeddings").df
     first = [list(map(float, r.embedding)) for r in points.orderBy("vec_id").limit(10).collect()]
     out = graphs.kmeans(points, "embedding", first, rounds=5)
-    return spark.createDataFrame([(k, [round(x, 6) for x in c]) for k, c in enumerate(out)], "cluster int, centroid array<double>")
+    return spark.createDataFrame([(k, d, round(x, 6)) for k, c in enumerate(out) for d, x in enumerate(c)], "cluster int, dim int, value double")
 
 
 @query("WITH RECURSIVE r(round, value) AS (SELECT 0, p_partkey FROM part UNION ALL SELECT round + 1, value + 3 FROM r WHERE round < 2) SELECT value FROM r WHERE round = 2")
@@ -136,10 +136,10 @@ def vector_update(spark, sf_dir):
     return points.select("vec_id", F.round(F.aggregate(moved, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
-@query("SELECT o_custkey, list(o_totalprice ORDER BY o_totalprice DESC)[1:3] AS top FROM orders GROUP BY o_custkey")
+@query("WITH t AS (SELECT o_custkey, list(o_totalprice ORDER BY o_totalprice DESC)[1:3] AS top FROM orders GROUP BY o_custkey) SELECT o_custkey, k::INT - 1 AS place, top[k] AS price FROM t, unnest(range(1, len(top) + 1)) AS u(k)")
 def top_of_list(spark, sf_dir):
     prices = flow(spark, sf_dir, "orders").df.groupBy("o_custkey").agg(F.collect_list("o_totalprice").alias("prices"))
-    return prices.select("o_custkey", fn.top_of("prices", 3).alias("top"))
+    return prices.select("o_custkey", F.posexplode(fn.top_of("prices", 3)).alias("place", "price"))
 
 
 @query("SELECT event_id, (props ->> 'k')::INT AS k FROM events")

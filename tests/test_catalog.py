@@ -51,8 +51,8 @@ def test_kmeans_matches_lloyd(spark):
     for _ in range(5):
         near = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
         c = np.array([x[near == k].mean(0) if (near == k).any() else c[k] for k in range(10)])
-    got = catalog.QUERIES["kmeans"](spark, SF).orderBy("cluster").toPandas()
-    assert np.allclose(np.array(got.centroid.tolist()), c, atol=1e-5)
+    got = catalog.QUERIES["kmeans"](spark, SF).orderBy("cluster", "dim").toPandas()
+    assert np.allclose(got.value.to_numpy().reshape(c.shape), c, atol=1e-5)
 
 
 def test_components_of_the_whole_graph(spark, duck):
