@@ -117,7 +117,7 @@ def parquet_round_trip(spark, sf_dir):
 
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def avro_round_trip(spark, sf_dir):
-    path = _scratch(spark, "avro").removeprefix("file:")
+    path = _scratch(spark, "avro")
     flow(spark, sf_dir, "supplier").map(s_suppkey="s_suppkey", s_name="s_name", s_acctbal="s_acctbal").write_avro(path)
     return Engine(spark).avro(path).df
 

@@ -1,24 +1,27 @@
 """Avro container files as a Python data source, for sessions without Spark's Avro package.
 
 Covers null, boolean, int, long, float, double, bytes, string, enum, fixed, array, map, record and unions with
-null; codecs null and deflate. Each file is a task; blocks stream through.
+null; codecs null and deflate. Files are read and written by Spark, on any file system that it reaches.
 """
 
 from __future__ import annotations
 
 import io
 import json
-import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnflow.operators.transforms import arrow_schema
+
 _MAGIC = b"Obj\x01"
+_SYNC = 16
 _PLAIN = {"boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "bytes": T.BinaryType(), "string": T.StringType()}
 
 
@@ -167,75 +170,119 @@ def _header(f) -> tuple[object, str, bytes]:
     if f.read(4) != _MAGIC:
         raise ValueError("not an Avro container file")
     meta = decode(f, {"type": "map", "values": "bytes"})
-    return json.loads(meta["avro.schema"]), meta.get("avro.codec", b"null").decode(), f.read(16)
+    return json.loads(meta["avro.schema"]), meta.get("avro.codec", b"null").decode(), f.read(_SYNC)
+
+
+def _unpacked(block: bytes, codec: str) -> bytes:
+    if codec == "deflate":
+        return zlib.decompress(block, -15)
+    if codec != "null":
+        raise ValueError(f"codec {codec}")
+    return block
 
 
 def records(data: bytes) -> Iterator[dict]:
-    """Records of the bytes of one or more container files, one after another."""
+    """Records of the bytes of one container file."""
     f = io.BytesIO(data)
+    schema, codec, sync = _header(f)
     while f.tell() < len(data):
-        schema, codec, sync = _header(f)
-        while f.tell() < len(data) and data[f.tell() : f.tell() + 4] != _MAGIC:
-            count, size = _long(f), _long(f)
-            block = f.read(size)
-            if codec == "deflate":
-                block = zlib.decompress(block, -15)
-            elif codec != "null":
-                raise ValueError(f"codec {codec}")
-            if f.read(16) != sync:
-                raise ValueError("a block doesn't end in the file's marker")
-            inner = io.BytesIO(block)
-            for _ in range(count):
-                yield decode(inner, schema)
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all files at ``path``; the first file's schema holds for all."""
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
-    first = files.limit(1).collect()
-    if not first:
-        raise ValueError(f"no Avro files at {path}")
-    kind = spark_type(_header(io.BytesIO(first[0].content))[0])
+        count, size = _long(f), _long(f)
+        inner = io.BytesIO(_unpacked(f.read(size), codec))
+        if f.read(len(sync)) != sync:
+            raise ValueError("a block doesn't end in the file's marker")
+        for _ in range(count):
+            yield decode(inner, schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for data in batch["content"]:
-                out = []
-                for row in records(data):
+
+def _block_records(data: bytes, schema, codec: str) -> Iterator[dict]:
+    """Records of one block without the marker that ends it."""
+    f = io.BytesIO(data)
+    count, size = _long(f), _long(f)
+    block = f.read(size)
+    if len(block) != size or f.read(1):
+        raise ValueError("a block doesn't end in the file's marker")
+    inner = io.BytesIO(_unpacked(block, codec))
+    for _ in range(count):
+        yield decode(inner, schema)
+
+
+def _first_header(spark: SparkSession, path: str) -> tuple[object, str, bytes]:
+    """Schema, codec and marker of the first file at ``path``, of which the driver reads the header only."""
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path").orderBy("path").limit(1).collect()
+    if not files:
+        raise ValueError(f"no Avro files at {path}")
+    file = spark._jvm.org.apache.hadoop.fs.Path(files[0].path)
+    fs = file.getFileSystem(spark._jsc.hadoopConfiguration())
+    size, whole = 1 << 16, fs.getFileStatus(file).getLen()
+    while True:
+        stream = fs.open(file)
+        try:
+            data = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(size, whole)))
+        finally:
+            stream.close()
+        f = io.BytesIO(data)
+        try:
+            found = _header(f)
+        except (EOFError, IndexError, ValueError):
+            if size >= whole:
+                raise
+            found = None
+        if found and len(found[2]) == _SYNC:
+            return found
+        if size >= whole:
+            raise ValueError(f"{files[0].path} ends within its header")
+        size *= 4
+
+
+def read(spark: SparkSession, path: str, batch: int = 10_000) -> DataFrame:
+    """Records of all files at ``path``; the first file's schema holds for all.
+
+    The marker of the first file separates blocks as a line end separates lines, so large files are split between tasks
+    by Spark's text reader. A file with another marker comes as one piece, and is read by its own header.
+    """
+    schema, codec, sync = _first_header(spark, path)
+    kind = spark_type(schema)
+    out_schema = arrow_schema(kind)
+    parts = spark.read.option("lineSep", sync.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pieces in batches:
+            out: list[dict] = []
+            for data in pieces.column(0):
+                data = data.as_py()
+                if data.startswith(_MAGIC):
+                    rows = () if _header(io.BytesIO(data + sync))[2] == sync else records(data)
+                else:
+                    rows = _block_records(data, schema, codec)
+                for row in rows:
                     out.append(row)
-                    if len(out) == 10_000:
-                        yield pd.DataFrame(out, dtype=object)
+                    if len(out) == batch:
+                        yield pa.RecordBatch.from_pylist(out, out_schema)
                         out = []
-                if out:
-                    yield pd.DataFrame(out, dtype=object)
-
-    return files.mapInPandas(run, kind)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, out_schema)
 
+    return parts.select(F.col("value").cast("binary").alias("value")).mapInArrow(run, kind)
 
-def container(rows: list[dict], schema, block: int = 1000) -> bytes:
-    sync = uuid.uuid4().bytes
-    meta = {"avro.schema": json.dumps(schema).encode(), "avro.codec": b"deflate"}
-    out = [_MAGIC, encode(meta, {"type": "map", "values": "bytes"}), sync]
-    for at in range(0, len(rows), block):
-        own = rows[at : at + block]
-        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
-        data = packer.compress(b"".join(encode(r, schema) for r in own)) + packer.flush()
-        out += [_put_long(len(own)), _put_long(len(data)), data, sync]
-    return b"".join(out)
-
-
-def write(df: DataFrame, path: str, append: bool = False) -> None:
-    """A container file per partition in a folder that all executors reach by this path."""
-    if os.path.isdir(path) and os.listdir(path) and not append:
-        raise FileExistsError(path)
-    os.makedirs(path, exist_ok=True)
-    schema = avro_type(df.schema)
 
-    def put(rows) -> None:
-        data = container([r.asDict(recursive=True) for r in rows], schema)
-        name = f"{path}/part-{uuid.uuid4().hex}.avro"
-        with open(name + ".tmp", "wb") as f:
-            f.write(data)
-        os.rename(name + ".tmp", name)
+def write(df: DataFrame, path: str, append: bool = False, block: int = 1000) -> None:
+    """A container file per partition, by Spark's text writer: any file system and its commit protocol, a block in memory at a time.
 
-    df.foreachPartition(put)
+    A block ends in the marker of its file, which is written as text ends its lines.
+    """
+    schema = avro_type(df.schema)
+    sync = uuid.uuid4().hex[:_SYNC]
+    meta = {"avro.schema": json.dumps(schema).encode(), "avro.codec": b"deflate"}
+    header = _MAGIC + encode(meta, {"type": "map", "values": "bytes"})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([header], pa.binary())], ["value"])
+        for rows in batches:
+            for at in range(0, rows.num_rows, block):
+                own = rows.slice(at, block).to_pylist(maps_as_pydicts="strict")
+                packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+                data = packer.compress(b"".join(encode(r, schema) for r in own)) + packer.flush()
+                yield pa.RecordBatch.from_arrays([pa.array([_put_long(len(own)) + _put_long(len(data)) + data], pa.binary())], ["value"])
+
+    text = df.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    text.write.mode("append" if append else "errorifexists").options(lineSep=sync, compression="none", maxRecordsPerFile=0).text(path)

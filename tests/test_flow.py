@@ -270,6 +270,50 @@ def test_avro(engine, tmp_path):
     assert [(n, s, d, list(a), m, tuple(r)) for n, s, d, a, m, r in got] == rows
 
 
+def foreign_avro(path, ids, sync, codec=b"null"):
+    """A container file as another writer makes it, in blocks of 100 records; its marker is any bytes."""
+    import json
+    import zlib
+
+    from tarnflow.sources.avro import _MAGIC, _put_long, encode
+
+    schema = {"type": "record", "name": "r", "fields": [{"name": "id", "type": "long"}, {"name": "s", "type": ["string", "null"]}]}
+    out = [_MAGIC, encode({"avro.schema": json.dumps(schema).encode(), "avro.codec": codec}, {"type": "map", "values": "bytes"}), sync]
+    for at in range(0, len(ids), 100):
+        data = b"".join(encode({"id": i, "s": f"row {i}\n\r\u00e9" * 20 if i % 2 else None}, schema) for i in ids[at : at + 100])
+        if codec == b"deflate":
+            packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+            data = packer.compress(data) + packer.flush()
+        out += [_put_long(len(ids[at : at + 100])), _put_long(len(data)), data, sync]
+    path.write_bytes(b"".join(out))
+
+
+def test_avro_of_other_writers_in_several_tasks(engine, spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    foreign_avro(tmp_path / "in" / "a.avro", range(20_000), bytes([0, 10, 13, 200, 255, 1, 2, 128, 9, 34, 92, 39, 10, 0, 250, 7]))
+    foreign_avro(tmp_path / "in" / "b.avro", range(20_000, 20_300), bytes(range(16)), b"deflate")
+    (tmp_path / "in" / "c.avro").write_bytes(b"")
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+        df = engine.avro(str(tmp_path / "in")).df
+        assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 3
+        got = {r.id: r.s for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    assert got == {i: f"row {i}\n\r\u00e9" * 20 if i % 2 else None for i in range(20_300)}
+
+
+def test_avro_appends_and_keeps_empty_tables(engine, tmp_path):
+    path = str(tmp_path / "avro")
+    engine.rows([], "num long").write_avro(path)
+    assert engine.avro(path).collect_vec() == []
+    engine.rows([(2**53 + 1,), (None,)], "num long").write_avro(path, append=True)
+    assert sorted((r.num for r in engine.avro(path).collect_vec()), key=str) == [2**53 + 1, None]
+    with pytest.raises(Exception, match="exist"):
+        engine.rows([(1,)], "num long").write_avro(path)
+
+
 def test_missing_packages_say_so(engine):
     with pytest.raises(RuntimeError, match="class path"):
         engine.kafka("localhost:9092", ["t"])
