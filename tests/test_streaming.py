@@ -66,15 +66,59 @@ def test_state_across_batches(spark, ticks):
     assert sorted((r.k, r.n) for r in got) == [("a", n) for n in range(1, 32)] + [("b", n) for n in range(1, 31)]
 
 
-def test_unique_and_reorder(spark, ticks):
+def test_unique_and_in_order(spark, ticks):
     stream, _, tmp = ticks
     got = run(spark, flows.unique(flows.with_watermark(stream, "ts", "3 hours"), ["k"]).select("k"), tmp, "w6")
     assert sorted(r.k for r in got) == ["a", "b"]
     seen = []
-    flows.reorder(stream, "ts", lambda batch, n: seen.append([r.ts for r in batch.collect()]), str(tmp / "ck-r")).awaitTermination()
+    flows.in_order(stream, "ts", lambda batch, n: seen.append([r.ts for r in batch.collect()]), str(tmp / "ck-r")).awaitTermination()
     assert sum(map(len, seen)) == 61 and all(b == sorted(b) for b in seen)
 
 
+@pytest.fixture
+def late(spark, tmp_path):
+    """Four micro-batches, out of order across them; the last has a row that is older than the watermark before it."""
+    at = lambda s: T0 + dt.timedelta(seconds=s, microseconds=s + 1)
+    big = 2**53 + 1
+    parts = [[(big, "a", at(5)), (2, "a", at(9)), (3, "b", at(1))], [(4, "a", at(7)), (None, "a", at(2)), (6, "b", at(40))], [(8, "b", at(39)), (9, "a", at(90))], [(7, "a", at(3)), (10, "a", at(200))]]
+    kind = "id long, k string, ts timestamp"
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, kind).coalesce(1).write.parquet(str(tmp_path / "late" / f"n={n}"))
+    ticking = flows.with_watermark(readers.files_stream(spark, str(tmp_path / "late" / "*"), kind, per_trigger=1), "ts", "10 seconds")
+    return ticking, parts, tmp_path, kind
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_reorder_across_batches(spark, late, keys):
+    stream, parts, tmp, kind = late
+    out = flows.reorder(stream, keys, "ts")
+    assert [f.dataType for f in out.schema] == [f.dataType for f in stream.schema]
+    seen, name = [], f"r{len(keys)}"
+    query = out.writeStream.foreachBatch(lambda b, n: seen.extend((r.id, r.k, r.ts) for r in b.collect())).option("checkpointLocation", str(tmp / name)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    expected = sorted((r for p in parts for r in p if r[0] not in (7, 10)), key=lambda r: r[2])  # 7 is late, 10 still waits
+    if keys:
+        assert [r for r in seen if r[1] == "a"] == [r for r in expected if r[1] == "a"] and [r for r in seen if r[1] == "b"] == [r for r in expected if r[1] == "b"]
+    else:
+        assert seen == expected
+    assert flows.dropped_rows(query) == 1
+
+
+def test_late_rows_of_a_join(spark, late):
+    stream, parts, tmp, kind = late
+    right = flows.with_watermark(readers.files_stream(spark, str(tmp / "late" / "*"), kind, per_trigger=1), "ts", "10 seconds")
+    query = flows.to_table(flows.interval_join(stream, right, "k", "ts", "0 seconds", "0 seconds"), "late_join", str(tmp / "lj"))
+    query.awaitTermination()
+    ids = {r.id for r in spark.table("late_join").collect()}
+    assert 7 not in ids and ids == {r[0] for p in parts for r in p if r[0] != 7} and flows.dropped_rows(query) == 2
+
+
+def test_sessions_by_the_clock(spark, ticks):
+    stream, rows, tmp = ticks
+    got = run(spark, flows.processing_sessions(stream, ["k"], "1 hour", n=F.count(F.lit(1))), tmp, "w9", "complete")
+    assert sorted((r.k, r.n) for r in got) == [("a", 31), ("b", 30)]
+
+
 def test_transactions(spark, tmp_path):
     at = lambda s: T0 + dt.timedelta(seconds=s)
     rows = [(1, "a", at(1), "go", None), (2, "a", at(2), "commit", None), (3, "a", at(3), "go", None), (4, "a", at(4), "discard", None), (5, "b", at(1), "commit_after", at(3)), (6, "b", at(2), "go", None), (7, "b", at(9), "go", None)]
