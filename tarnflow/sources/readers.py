@@ -83,11 +83,13 @@ def typed(df: DataFrame, schema: StructType) -> DataFrame:
 
 
 def _need(spark: SparkSession, kind: str) -> None:
-    """Formats whose jars a deployment adds; a clear error where they are missing."""
+    """Formats whose jars a deployment adds, or that a Python class registers; a clear error where they are missing."""
+    state = spark._jsparkSession.sessionState()
     try:
-        spark._jvm.org.apache.spark.sql.execution.datasources.DataSource.lookupDataSource(kind, spark._jsparkSession.sessionState().conf())
+        spark._jvm.org.apache.spark.sql.execution.datasources.DataSource.lookupDataSource(kind, state.conf())
     except Exception as error:
-        raise RuntimeError(f"the {kind} data source isn't on Spark's class path; start Spark with its package") from error
+        if kind in ("avro", "kafka") or not state.dataSourceManager().dataSourceExists(kind):
+            raise RuntimeError(f"the {kind} data source isn't on Spark's class path; start Spark with its package") from error
 
 
 def avro(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -102,11 +104,14 @@ def avro(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame
     return (reader.option("avroSchema", schema) if schema else reader).load(path)
 
 
-def kafka(spark: SparkSession, servers: str, topics: list[str], stream: bool = True, **options) -> DataFrame:
-    """Messages of topics; offsets are kept by the query's checkpoint. Needs Spark's Kafka package."""
-    _need(spark, "kafka")
+def kafka(spark: SparkSession, servers: str, topics: list[str], stream: bool = True, source: str = "kafka", **options) -> DataFrame:
+    """Messages of topics; offsets are kept by the query's checkpoint.
+
+    Needs Spark's Kafka package, or as ``source`` the name of another data source that takes the same options.
+    """
+    _need(spark, source)
     reader = spark.readStream if stream else spark.read
-    return reader.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics)).options(**options).load()
+    return reader.format(source).option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics)).options(**options).load()
 
 
 def files_stream(spark: SparkSession, path: str, schema, kind: str = "parquet", per_trigger: int | None = None) -> DataFrame:

@@ -81,10 +81,17 @@ def write_avro(df: DataFrame, path: str, append: bool = False, one: bool = False
     df.write.mode("append" if append else "errorifexists").format("avro").save(path)
 
 
-def write_kafka(df: DataFrame, servers: str, topic: str, **options) -> None:
-    """Rows with a ``value`` (and a ``key``) to a topic. Needs Spark's Kafka package."""
-    _need(df.sparkSession, "kafka")
-    df.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).options(**options).save()
+def write_kafka(df: DataFrame, servers: str, topic: str, source: str = "kafka", **options) -> None:
+    """Rows with a ``value`` (and a ``key``) to a topic. Needs Spark's Kafka package, or another ``source`` with its options."""
+    _need(df.sparkSession, source)
+    df.write.format(source).mode("append").option("kafka.bootstrap.servers", servers).option("topic", topic).options(**options).save()
+
+
+def stream_kafka(df: DataFrame, servers: str, topic: str, checkpoint: str, mode: str = "append", trigger: dict | None = None, source: str = "kafka", **options):
+    """The same for a stream, as a running query; messages of a failed micro-batch may come twice."""
+    _need(df.sparkSession, source)
+    out = df.writeStream.format(source).outputMode(mode).option("checkpointLocation", checkpoint).option("kafka.bootstrap.servers", servers).option("topic", topic)
+    return out.options(**options).trigger(**(trigger or {"availableNow": True})).start()
 
 
 LEVELS = {"memory": StorageLevel.MEMORY_ONLY, "memory_and_disk": StorageLevel.MEMORY_AND_DISK, "disk": StorageLevel.DISK_ONLY}

@@ -172,3 +172,106 @@ def test_custom_source(spark):
             yield partition.value, partition.value**2
 
     assert sorted(tuple(r) for r in readers.custom(spark, Squares).collect()) == [(0, 0), (1, 1), (2, 4)]
+
+
+def stub_topics(folder):
+    """A data source with the options of Kafka's: a topic is a folder with a file of JSON messages per write."""
+    import json
+    import uuid
+    from pathlib import Path
+
+    from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamWriter, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
+
+    root = Path(folder)
+
+    class Topics(DataSource):
+        @classmethod
+        def name(cls):
+            return "stub_topics"
+
+        def schema(self):
+            return "key binary, value binary, topic string"
+
+        def messages(self):
+            assert self.options["kafka.bootstrap.servers"] == "nowhere:9092"
+            files = [f for t in self.options["subscribe"].split(",") for f in sorted((root / t).glob("*.json"))]
+            return [(None, m["value"].encode(), f.parent.name) for f in files for m in json.loads(f.read_text())]
+
+        def reader(self, schema):
+            source = self
+
+            class Reader(DataSourceReader):
+                def partitions(self):
+                    return [InputPartition(0)]
+
+                def read(self, partition):
+                    yield from source.messages()
+
+            return Reader()
+
+        def simpleStreamReader(self, schema):
+            source = self
+
+            class Reader(SimpleDataSourceStreamReader):
+                def initialOffset(self):
+                    return {"n": 0}
+
+                def read(self, start):
+                    found = source.messages()[start["n"] :]
+                    return iter(found), {"n": start["n"] + len(found)}
+
+                def readBetweenOffsets(self, start, end):
+                    return iter(source.messages()[start["n"] : end["n"]])
+
+                def commit(self, end):
+                    pass
+
+            return Reader()
+
+        def put(self, rows):
+            assert self.options["kafka.bootstrap.servers"] == "nowhere:9092"
+            at = root / self.options["topic"]
+            at.mkdir(exist_ok=True)
+            found = [{"key": r["key"], "value": r["value"]} for r in rows]
+            (at / f"{uuid.uuid4().hex}.json").write_text(json.dumps(found))
+
+        def writer(self, schema, overwrite):
+            source = self
+
+            class Writer(DataSourceWriter):
+                def write(self, rows):
+                    source.put(rows)
+                    return WriterCommitMessage()
+
+            return Writer()
+
+        def streamWriter(self, schema, overwrite):
+            source = self
+
+            class Writer(DataSourceStreamWriter):
+                def write(self, rows):
+                    source.put(rows)
+                    return WriterCommitMessage()
+
+            return Writer()
+
+    return Topics
+
+
+def test_topics_and_running_word_count(spark, tmp_path):
+    """Options and plans of the Kafka source and sinks, over a stub with the same options."""
+    import json
+
+    spark.dataSource.register(stub_topics(str(tmp_path)))
+    frame = spark.createDataFrame([(None, x) for x in ("The cat", "the dog the", "Cat")], "key string, value string")
+    writers.write_kafka(frame, "nowhere:9092", "lines", source="stub_topics")
+    read = readers.kafka(spark, "nowhere:9092", ["lines"], stream=False, source="stub_topics")
+    assert sorted(bytes(r.value).decode() for r in read.collect()) == ["Cat", "The cat", "the dog the"]
+    stream = readers.kafka(spark, "nowhere:9092", ["lines"], source="stub_topics")
+    query = writers.stream_kafka(flows.running_words(stream), "nowhere:9092", "counts", str(tmp_path / "ck-k"), mode="complete", trigger={"processingTime": "1 second"}, source="stub_topics")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    got = sorted((m["key"], m["value"]) for f in (tmp_path / "counts").glob("*.json") for m in json.loads(f.read_text()))
+    assert got == [("cat", "2"), ("dog", "1"), ("the", "3")]
