@@ -229,12 +229,18 @@ def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE_OP9 = r"""
-WITH d AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+WITH d AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, source, i, ls[i] AS line, trim(ls[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS k FROM d, unnest(range(1, len(ls) + 1)) AS u(i)),
 spread AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT source) >= 10),
 f AS (SELECT l.*, spread.k IS NOT NULL AS hit FROM l LEFT JOIN spread USING (k)),
-s AS (SELECT doc_id, sum(CASE WHEN hit THEN strlen(k) ELSE 0 END) <= 0.5 * sum(strlen(k)) AS page FROM f GROUP BY doc_id)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hit AND page) AS n_removed,
-  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT (hit AND page)), '') AS text
-FROM f JOIN s USING (doc_id) GROUP BY doc_id
+o AS (SELECT text, count(*) AS n FROM d WHERE doc_id IN (SELECT doc_id FROM f GROUP BY doc_id HAVING sum(CASE WHEN hit THEN strlen(k) ELSE 0 END) > 0.5 * sum(strlen(k))) GROUP BY text),
+w AS (SELECT text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM o),
+g AS (SELECT DISTINCT text, array_to_string(ws[s : s + 4], ' ') AS sh FROM w, unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS u(s) WHERE len(ws) > 0),
+z AS (SELECT text, count(*) AS n FROM g GROUP BY text),
+p AS (SELECT a.text AS x, b.text AS y, count(*) AS shared FROM g a JOIN g b ON a.sh = b.sh AND a.text <> b.text GROUP BY ALL),
+copies AS (SELECT text FROM o WHERE n > 1 UNION SELECT x FROM p JOIN z ON z.text = x JOIN z AS q ON q.text = y WHERE 100 * shared >= 80 * (z.n + q.n - shared)),
+c AS (SELECT doc_id FROM d WHERE text IN (SELECT text FROM copies))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hit AND doc_id NOT IN (FROM c)) AS n_removed,
+  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT (hit AND doc_id NOT IN (FROM c))), '') AS text
+FROM f GROUP BY doc_id
 """
