@@ -182,16 +182,17 @@ def _unpacked(block: bytes, codec: str) -> bytes:
 
 
 def records(data: bytes) -> Iterator[dict]:
-    """Records of the bytes of one container file."""
+    """Records of the bytes of one or more container files, one after another."""
     f = io.BytesIO(data)
-    schema, codec, sync = _header(f)
     while f.tell() < len(data):
-        count, size = _long(f), _long(f)
-        inner = io.BytesIO(_unpacked(f.read(size), codec))
-        if f.read(len(sync)) != sync:
-            raise ValueError("a block doesn't end in the file's marker")
-        for _ in range(count):
-            yield decode(inner, schema)
+        schema, codec, sync = _header(f)
+        while f.tell() < len(data) and data[f.tell() : f.tell() + len(_MAGIC)] != _MAGIC:
+            count, size = _long(f), _long(f)
+            inner = io.BytesIO(_unpacked(f.read(size), codec))
+            if f.read(_SYNC) != sync:
+                raise ValueError("a block doesn't end in the file's marker")
+            for _ in range(count):
+                yield decode(inner, schema)
 
 
 def _block_records(data: bytes, schema, codec: str) -> Iterator[dict]:
@@ -265,6 +266,25 @@ def read(spark: SparkSession, path: str, batch: int = 10_000) -> DataFrame:
     return parts.select(F.col("value").cast("binary").alias("value")).mapInArrow(run, kind)
 
 
+def _head(schema) -> bytes:
+    """What a file begins with, without its marker."""
+    meta = {"avro.schema": json.dumps(schema).encode(), "avro.codec": b"deflate"}
+    return _MAGIC + encode(meta, {"type": "map", "values": "bytes"})
+
+
+def _packed(rows: list[dict], schema) -> bytes:
+    """A block, without the marker that ends it."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    data = packer.compress(b"".join(encode(r, schema) for r in rows)) + packer.flush()
+    return _put_long(len(rows)) + _put_long(len(data)) + data
+
+
+def container(rows: list[dict], schema, block: int = 1000) -> bytes:
+    """The bytes of one file of rows in memory."""
+    sync = uuid.uuid4().bytes
+    return b"".join(part + sync for part in (_head(schema), *(_packed(rows[at : at + block], schema) for at in range(0, len(rows), block))))
+
+
 def write(df: DataFrame, path: str, append: bool = False, block: int = 1000) -> None:
     """A container file per partition, by Spark's text writer: any file system and its commit protocol, a block in memory at a time.
 
@@ -272,17 +292,14 @@ def write(df: DataFrame, path: str, append: bool = False, block: int = 1000) ->
     """
     schema = avro_type(df.schema)
     sync = uuid.uuid4().hex[:_SYNC]
-    meta = {"avro.schema": json.dumps(schema).encode(), "avro.codec": b"deflate"}
-    header = _MAGIC + encode(meta, {"type": "map", "values": "bytes"})
+    header = _head(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([header], pa.binary())], ["value"])
         for rows in batches:
             for at in range(0, rows.num_rows, block):
                 own = rows.slice(at, block).to_pylist(maps_as_pydicts="strict")
-                packer = zlib.compressobj(6, zlib.DEFLATED, -15)
-                data = packer.compress(b"".join(encode(r, schema) for r in own)) + packer.flush()
-                yield pa.RecordBatch.from_arrays([pa.array([_put_long(len(own)) + _put_long(len(data)) + data], pa.binary())], ["value"])
+                yield pa.RecordBatch.from_arrays([pa.array([_packed(own, schema)], pa.binary())], ["value"])
 
     text = df.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
     text.write.mode("append" if append else "errorifexists").options(lineSep=sync, compression="none", maxRecordsPerFile=0).text(path)
