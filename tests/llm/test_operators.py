@@ -223,6 +223,13 @@ def test_repeats(spark, odd_docs, block):
     assert got == brute_repeats(whole, 400)
 
 
+def test_repeats_of_the_query(spark):
+    """Every document of the smallest table, at the contract's 400 bytes."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted((tuple(r) for r in suffix_dedup.op5_suffix_array_dedup(spark, SF).collect()), key=str)
+    assert got == brute_repeats(docs, 400) and any(0 < x[2] < x[1] for x in got)
+
+
 def brute_jaccard(docs, m, num, den):
     sets = []
     for _, t in docs:
