@@ -87,6 +87,35 @@ def test_interval_join(engine):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def dealt(monkeypatch):
+    """Nearly every key is hot."""
+    monkeypatch.setattr(joins, "HOT_PAIRS", 20)
+    monkeypatch.setattr(joins, "CELL_ROWS", 4)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+@pytest.mark.parametrize("strategy", list(joins.STRATEGIES))
+def test_join_of_hot_keys(spark, monkeypatch, how, strategy):
+    """Hot keys (null among them) beside cold ones and ones that the other side lacks, of two integer types, with repeated rows."""
+    dealt(monkeypatch)
+    a = [(None if i % 5 == 0 else i % 11, i) for i in range(60)] + [(99, 1)] * 3 + [(1, 1)] * 3
+    b = [(None if i % 4 == 0 else i % 13, i) for i in range(70)] + [(98, 5)]
+    expected = [(x, v, w) for x, v in a for y, w in b if x == y]
+    expected += [(x, v, None) for x, v in a if how in ("left", "full") and all(x != y for y, _ in b)]
+    expected += [(y, None, w) for y, w in b if how in ("right", "full") and all(y != x for x, _ in a)]
+    out = joins.equi_join(spark.createDataFrame(a, "k int, v int"), spark.createDataFrame(b, "k long, v int"), [("k", "k")], how, strategy)
+    assert sorted(map(str, out.select("k0", "v", "r_v").collect())) == sorted(map(str, spark.createDataFrame(expected, "k0 long, v int, r_v int").collect()))
+
+
+def test_pairs_of_a_key_are_spread(spark):
+    """Null keys with nine million pairs: no task makes more than a few cells of them, whatever the strategy."""
+    nulls = lambda n: spark.range(n).select(F.expr("if(id % 2 = 0, null, id)").alias("k"), "id")
+    for how, strategy in [("full", None), ("inner", "hash"), ("left", "broadcast_right"), ("inner", "sort_merge")]:
+        out = joins.equi_join(nulls(6000), nulls(6000), [("k", "k")], how, strategy)
+        tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == 3000 * 3000 + 3000 and max(tasks) < 4_000_000
+
+
 def test_count_windows(engine):
     w = numbers(engine, 10).window_all(win.CountWindow.sliding(3, 2), ["value"])
     assert [x for _, x in vals(w.sum("value"), "win", "sum")] == [3, 9, 15, 21]
