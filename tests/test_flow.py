@@ -116,6 +116,20 @@ def test_pairs_of_a_key_are_spread(spark):
         assert sum(tasks) == 3000 * 3000 + 3000 and max(tasks) < 4_000_000
 
 
+def test_interval_join_of_dense_times(spark, monkeypatch):
+    """A bucket of time with very many pairs is spread as well; with and without keys, null ones among them."""
+    dealt(monkeypatch)
+    rows = [(None if i % 7 == 0 else i % 2, i % 40 // 3, i) for i in range(80)] + [(1, None, -1)]
+    a, b = spark.createDataFrame(rows, "k int, ts long, v int"), spark.createDataFrame(rows, "k int, ts long, w int")
+    near = [(k, v, h, w) for k, t, v in rows for h, u, w in rows if None not in (t, u) and t - 1 <= u <= t + 2]
+    assert sorted((r.v, r.r_w) for r in joins.interval_join(a, b, "ts", "ts", 1, 2).collect()) == sorted((v, w) for _, v, _, w in near)
+    assert sorted((r.v, r.r_w) for r in joins.interval_join(a, b, "ts", "ts", 1, 2, [("k", "k")]).collect()) == sorted((v, w) for k, v, h, w in near if k == h)
+    monkeypatch.undo()
+    dense = spark.range(3000).select(F.lit(5).cast("long").alias("ts"), "id")
+    tasks = [r["count"] for r in joins.interval_join(dense, dense, "ts", "ts", 1, 2).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 3000 * 3000 and max(tasks) < 4_000_000
+
+
 def test_count_windows(engine):
     w = numbers(engine, 10).window_all(win.CountWindow.sliding(3, 2), ["value"])
     assert [x for _, x in vals(w.sum("value"), "win", "sum")] == [3, 9, 15, 21]
