@@ -9,26 +9,70 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions import squared_distance
 from tarnflow.plans.iteration import delta_iterate, fixpoint
-from tarnflow.storage import discard, materialize
+from tarnflow.storage import bucketed, discard, drop, materialize
+
+
+#: Nodes with twice the mean degree are hubs if they are no more than this: what they send is broadcast.
+MAX_HUBS = 1 << 20
+#: Edges in a bucket.
+BUCKET_EDGES = 1 << 20
+
+
+class Sender:
+    """What nodes send along edges ``src, dst``, summed where it arrives, round after round without shuffling the edges again.
+
+    Edges from hubs lie by their ``dst``: what hubs send is broadcast, and almost all of a node's sum is made in one task. The other
+    edges are bucketed by ``src``, to which only what nodes send is shuffled; sums for hubs shrink before the shuffle.
+    ``nodes`` has ``node, degree`` (out-edges, 0 for none).
+    """
+
+    def __init__(self, edges: DataFrame) -> None:
+        edges = materialize(edges.select("src", "dst"), "edges")
+        self.spark = edges.sparkSession
+        ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("out")).union(edges.select("dst", F.lit(0)))
+        known = materialize(ends.groupBy("node").agg(F.sum("out").alias("degree"), F.count(F.lit(1)).alias("ends")), "nodes")
+        self.nodes = known.select("node", "degree")
+        self.n, total = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("degree"), F.lit(0))).first()
+        hubs = known.where((F.col("ends") * self.n > 4 * total) & (F.col("degree") > 0)).select(F.col("node").alias("src"))
+        parts = max(self.spark.sparkContext.defaultParallelism, total // BUCKET_EDGES)
+        self.hubs = self.wide = None
+        if 0 < hubs.count() <= MAX_HUBS:
+            self.hubs = materialize(hubs, "hubs")
+            self.wide = materialize(edges.join(F.broadcast(self.hubs), "src").repartition(parts, "dst"), "wide")
+            edges_left = edges.join(F.broadcast(self.hubs), "src", "left_anti")
+        else:
+            edges_left = edges
+        self.narrow, self.table = bucketed(edges_left, "src", parts)
+        discard(edges)
+
+    def __call__(self, sent: DataFrame) -> DataFrame:
+        """``node, sum`` of ``sent`` (``src, value``, a row a node) over the edges from ``src``."""
+        got = self.narrow.join(sent.hint("SHUFFLE_HASH"), "src").select("dst", "value")
+        if self.wide is not None:
+            got = got.union(self.wide.join(F.broadcast(self.hubs.join(sent, "src")), "src").select("dst", "value"))
+        return got.groupBy(F.col("dst").alias("node")).agg(F.sum("value").alias("sum"))
+
+    def close(self) -> None:
+        drop(self.spark, self.table)
+        if self.wide is not None:
+            discard(self.wide, self.hubs)
 
 
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """``node, rank`` after ``rounds`` of the power method over edges ``src, dst``; nodes without out-edges give nothing on."""
-    edges = materialize(edges.select("src", "dst"), "edges")
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    links = materialize(edges.join(degree, "src"), "links")
-    nodes = materialize(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "nodes")
-    n = nodes.count()
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    send = Sender(edges)
+    n, nodes = send.n, send.nodes
+    ranks = nodes.withColumn("rank", F.lit(1.0 / n) if n else F.lit(0.0))
     last = None
     for _ in range(rounds):
-        given = links.join(ranks, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("sum"))
-        ranks = nodes.join(given, F.col("node") == F.col("dst"), "left").select("node", (F.lit((1 - damping) / n) + damping * F.coalesce("sum", F.lit(0.0))).alias("rank"))
+        given = send(ranks.where("degree > 0").select(F.col("node").alias("src"), (F.col("rank") / F.col("degree")).alias("value")))
+        ranks = nodes.join(given, "node", "left").select("node", "degree", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("sum", F.lit(0.0))).alias("rank"))
         ranks = materialize(ranks, "ranks")
         if last is not None:
             discard(last)
         last = ranks
-    return ranks
+    send.close()
+    return ranks.select("node", "rank")
 
 
 def pagerank_stateful(edges: DataFrame, rounds: int = 10, tolerance: float = 1e-8, damping: float = 0.85) -> DataFrame:
@@ -37,20 +81,19 @@ def pagerank_stateful(edges: DataFrame, rounds: int = 10, tolerance: float = 1e-
     Ends early when no rank moves by more than ``tolerance`` of itself. Nodes that nothing leads to have no rank after
     the first round.
     """
-    edges = materialize(edges.select("src", "dst"), "edges")
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    links = materialize(edges.join(degree, "src"), "links")
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    n = nodes.count()
-    state = materialize(nodes.select("node", F.lit(0.0).alias("before"), F.lit(1.0 / n).alias("rank")), "ranks")
+    send = Sender(edges)
+    n = max(send.n, 1)
+    state = materialize(send.nodes.select("node", "degree", F.lit(0.0).alias("before"), F.lit(1.0 / n).alias("rank")), "ranks")
     for _ in range(rounds):
-        given = links.join(state.select(F.col("node").alias("src"), "rank"), "src").groupBy("dst").agg((F.sum(F.col("rank") / F.col("degree")) * damping + (1 - damping) / n).alias("new"))
-        moved = given.join(state.select("node", F.col("rank").alias("old")), given["dst"] == F.col("node"), "left")
-        old, state = state, materialize(moved.select(F.col("dst").alias("node"), F.coalesce("old", F.lit(0.0)).alias("before"), F.col("new").alias("rank")), "ranks")
+        given = send(state.where("degree > 0").select(F.col("node").alias("src"), (F.col("rank") / F.col("degree")).alias("value")))
+        moved = given.join(send.nodes, "node", "left").join(state.select("node", F.col("rank").alias("old")), "node", "left")
+        new = (F.col("sum") * damping + (1 - damping) / n).alias("rank")
+        old, state = state, materialize(moved.select("node", "degree", F.coalesce("old", F.lit(0.0)).alias("before"), new), "ranks")
         discard(old)
         if state.where(F.abs(F.col("rank") - F.col("before")) / F.col("rank") > tolerance).isEmpty():
             break
-    return state
+    send.close()
+    return state.select("node", "before", "rank")
 
 
 def pagerank_delta(edges: DataFrame, rounds: int = 100, start: int = 6_000_000, jump: int = 1_000_000) -> DataFrame:
@@ -58,16 +101,13 @@ def pagerank_delta(edges: DataFrame, rounds: int = 100, start: int = 6_000_000,
 
     Nodes send on only by how much their share has changed, until nothing changes or ``rounds`` have passed.
     """
-    edges = materialize(edges.select("src", "dst"), "edges")
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    share = lambda rank: F.coalesce(F.expr(f"({rank}) * 5 div (6 * degree)"), F.lit(0)).cast("long")
-    first = nodes.join(degree.withColumnRenamed("src", "node"), "node", "left").select("node", "degree", F.lit(start).cast("long").alias("rank"))
+    sender = Sender(edges)
+    share = lambda rank: F.coalesce(F.expr(f"({rank}) * 5 div (6 * nullif(degree, 0))"), F.lit(0)).cast("long")
+    first = sender.nodes.select("node", "degree", F.lit(start).cast("long").alias("rank"))
     first = materialize(first.select("node", "degree", "rank", share("rank").alias("share"), share("rank").alias("step")), "ranks")
 
     def send(changed: DataFrame) -> DataFrame:
-        out = changed.where("step <> 0").select(F.col("node").alias("src"), "step").join(edges, "src")
-        return out.groupBy(F.col("dst").alias("node")).agg(F.sum("step").alias("add"))
+        return sender(changed.where("step <> 0").select(F.col("node").alias("src"), F.col("step").alias("value"))).withColumnRenamed("sum", "add")
 
     def take(joined: DataFrame) -> DataFrame:
         moved = joined.withColumn("rank", F.col("rank") + F.coalesce("add", F.lit(0)))
@@ -75,7 +115,9 @@ def pagerank_delta(edges: DataFrame, rounds: int = 100, start: int = 6_000_000,
         return moved.select("node", "degree", "rank", F.col("new").alias("share"), (F.col("new") - F.col("share")).alias("step"), (F.coalesce("add", F.lit(0)) != 0).alias("changed"))
 
     opening = send(first).join(first.select("node"), "node", "right").select("node", (F.coalesce("add", F.lit(0)) + jump - start).alias("add"))
-    return delta_iterate(first, opening, rounds, "node", take, send).select("node", "rank")
+    out = delta_iterate(first, opening, rounds, "node", take, send).select("node", "rank")
+    sender.close()
+    return out
 
 
 def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:

@@ -31,6 +31,21 @@ def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, parts: int) -> tuple[DataFrame, str]:
+    """The frame written to the shared folder in ``parts`` files by a hash of ``key``, so that joins on it needn't shuffle it again, and the name of its table for ``drop``."""
+    spark, name = df.sparkSession, f"cut_{uuid.uuid4().hex}"
+    df.repartition(parts, key).write.bucketBy(parts, key).option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
+    return spark.table(name), name
+
+
+def drop(spark: SparkSession, *names: str) -> None:
+    """Delete tables made by ``bucketed`` and their files."""
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of frames made by ``materialize`` that no later plan reads."""
     for df in frames:

@@ -268,6 +268,39 @@ def test_graphs(spark):
     assert graphs.triangles(k5).first()[0] == 10
 
 
+@pytest.mark.parametrize("hubs", [0, 1 << 20])
+def test_ranks_of_a_directed_graph(spark, monkeypatch, hubs):
+    """Two hubs that are broadcast or not, nodes that nothing leads to and ones that lead nowhere: the sums along the edges are the same."""
+    import random
+
+    monkeypatch.setattr(graphs, "MAX_HUBS", hubs)
+    draw = random.Random(5)
+    pairs = {(draw.randrange(50), draw.randrange(30, 80)) for _ in range(120)} | {(h, v) for h in (0, 1) for v in range(40)} | {(90, 5), (6, 91)}
+    edges = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    nodes, degree = {x for p in pairs for x in p}, {x: sum(a == x for a, _ in pairs) for p in pairs for x in p}
+    rank, before = dict.fromkeys(nodes, 1 / len(nodes)), {}
+    whole = dict.fromkeys(nodes, 6_000_000)
+    for _ in range(4):
+        rank = {x: 0.15 / len(nodes) + 0.85 * sum(rank[a] / degree[a] for a, b in pairs if b == x) for x in nodes}
+        whole = {x: 1_000_000 + sum(whole[a] * 5 // (6 * degree[a]) for a, b in pairs if b == x) for x in nodes}
+    got = {r.node: r.rank for r in graphs.pagerank(edges, 4).collect()}
+    assert got == {x: pytest.approx(v, abs=1e-12) for x, v in rank.items()}
+    assert {r.node: r.rank for r in graphs.pagerank_delta(edges, 4).collect()} == whole
+    state, led = dict.fromkeys(nodes, 1 / len(nodes)), {b for _, b in pairs}
+    for _ in range(4):
+        before, state = state, {x: 0.15 / len(nodes) + 0.85 * sum(state[a] / degree[a] for a, b in pairs if b == x and a in state) for x in led if any(a in state for a, b in pairs if b == x)}
+    assert {r.node: r.rank for r in graphs.pagerank_stateful(edges, 4).collect()} == {x: pytest.approx(v, abs=1e-12) for x, v in state.items()}
+
+
+def test_rounds_leave_the_edges_in_place(spark):
+    """What nodes send is shuffled or broadcast; the edges are only read."""
+    edges = spark.range(5000).selectExpr("id as src", "id % 1000 as dst")
+    send = graphs.Sender(edges)
+    plan = send(spark.range(5000).selectExpr("id as src", "1.0D as value"))._jdf.queryExecution().executedPlan().toString()
+    send.close()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(src") <= 1 and "Exchange hashpartitioning(dst" in plan
+
+
 def test_limits(engine):
     flow = numbers(engine, 100)
     assert [r.value for r in flow.sorted_limit_by(F.desc("value"), n=3, offset=2).collect_vec()] == [97, 96, 95]
