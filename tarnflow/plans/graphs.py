@@ -162,16 +162,23 @@ def triangles(edges: DataFrame) -> DataFrame:
     """The number ``triangles`` in an undirected graph.
 
     Edges point from the end of lower degree to the other, so that no node has more than the square root of
-    the edges going out: the pairs to check stay few whatever the hubs.
+    the edges going out: the pairs to check stay few whatever the hubs. Of a node's pairs only those are made whose lower end has
+    both edges coming in and going out, and whose upper end is reached from such a node; no other pair is closed.
     """
     flat = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
     flat = materialize(flat, "edges")
-    degree = flat.select("a").union(flat.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("d"))
+    degree = materialize(flat.select("a").union(flat.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("d")), "degrees")
     ranked = flat.join(degree.toDF("a", "da"), "a").join(degree.toDF("b", "db"), "b")
     up = F.struct("da", "a") < F.struct("db", "b")
-    out = materialize(ranked.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("lo"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("hi")), "oriented")
-    wedge = out.toDF("lo", "x").join(out.toDF("lo", "y"), "lo").where("x < y").select("x", "y")
-    closed = out.select(F.least("lo", "hi").alias("x"), F.greatest("lo", "hi").alias("y"))
+    lower, upper = F.struct(F.col("da").alias("d"), F.col("a").alias("v")), F.struct(F.col("db").alias("d"), F.col("b").alias("v"))
+    ends = ranked.select(F.when(up, lower).otherwise(upper).alias("l"), F.when(up, upper).otherwise(lower).alias("h"))
+    out = materialize(ends.select(F.col("l.v").alias("lo"), F.col("h.v").alias("hi"), F.col("h.d").alias("d")), "oriented")
+    mids = materialize(out.select("hi").distinct().join(out.select(F.col("lo").alias("hi")).distinct(), "hi", "left_semi"), "mids")
+    closed = materialize(out.join(mids.toDF("lo"), "lo", "left_semi").select(F.col("lo").alias("x"), F.col("hi").alias("y")), "closing")
+    tops = closed.select(F.col("y").alias("hi")).distinct()
+    x = out.join(mids, "hi", "left_semi").select("lo", F.col("hi").alias("x"), F.col("d").alias("dx"))
+    y = out.join(tops, "hi", "left_semi").select("lo", F.col("hi").alias("y"), F.col("d").alias("dy"))
+    wedge = x.join(y, "lo").where(F.struct("dx", "x") < F.struct("dy", "y")).select("x", "y")
     return wedge.join(closed, ["x", "y"]).agg(F.count(F.lit(1)).alias("triangles"))
 
 

@@ -10,7 +10,7 @@ from tarnflow.flow import Engine
 from tarnflow.operators import joins, ordering
 from tarnflow.operators import windows as win
 from tarnflow.operators.stateful import commit_after
-from tarnflow.plans import graphs
+from tarnflow.plans import graphs, iteration
 
 
 @pytest.fixture(scope="module")
@@ -301,6 +301,21 @@ def test_rounds_leave_the_edges_in_place(spark):
     assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(src") <= 1 and "Exchange hashpartitioning(dst" in plan
 
 
+def test_triangles_make_only_pairs_that_may_close(spark, monkeypatch):
+    """A bipartite graph has no pair to check; a random one with hubs has the triangles of brute force."""
+    import random
+
+    kept, write = {}, graphs.materialize
+    monkeypatch.setattr(graphs, "materialize", lambda df, label: kept.setdefault(label, write(df, label)))
+    two = spark.createDataFrame([(a, b) for a in range(12) for b in range(20, 35)], "src long, dst long")
+    assert graphs.triangles(two).first()[0] == 0 and kept["mids"].isEmpty()
+    kept.clear()
+    draw = random.Random(2)
+    pairs = {tuple(sorted(draw.sample(range(40), 2))) for _ in range(200)} | {(0, v) for v in range(1, 40)}
+    expected = sum((a, b) in pairs and (b, c) in pairs and (a, c) in pairs for a, b, c in itertools.combinations(range(40), 3))
+    assert graphs.triangles(spark.createDataFrame(sorted(pairs), "src long, dst long")).first()[0] == expected
+
+
 def test_limits(engine):
     flow = numbers(engine, 100)
     assert [r.value for r in flow.sorted_limit_by(F.desc("value"), n=3, offset=2).collect_vec()] == [97, 96, 95]
