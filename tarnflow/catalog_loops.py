@@ -21,7 +21,9 @@ from tarnflow.storage import shared_dir
 
 def part_edges(spark, sf_dir) -> DataFrame:
     """Every part with every supplier that a line item has it from, with disjoint ids: few nodes with very many edges."""
-    return flow(spark, sf_dir, "lineitem").df.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 100_000_000).alias("dst")).distinct()
+    items = flow(spark, sf_dir, "lineitem").df
+    tasks = max(spark.sparkContext.defaultParallelism, items.count() // graphs.BUCKET_EDGES)
+    return items.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 100_000_000).alias("dst")).repartition(tasks, "src", "dst").distinct()
 
 
 def next_orders(spark, sf_dir) -> DataFrame:

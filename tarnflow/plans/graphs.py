@@ -127,19 +127,24 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     the least node in even rounds, the least by a hash of the round in odd ones, which takes a constant factor off the
     nodes of any graph, long paths included. A graph that is not done after ``rounds`` is an error.
     """
+    edges = materialize(edges.select("src", "dst"), "edges")
     nodes = materialize(edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node is not null").distinct(), "nodes")
-    pairs = edges.select("src", "dst").where("src <> dst")
-    both = materialize(pairs.union(pairs.select("dst", "src")).distinct(), "edges")
+    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, 2 * edges.count() // BUCKET_EDGES)
+    once = lambda df: df.repartition(tasks, "src", "dst").distinct()  # noqa: E731  (few edges a task, whatever Spark makes of small partitions)
+    pairs = edges.where("src <> dst")
+    both = materialize(once(pairs.union(pairs.select("dst", "src"))), "edges")
     picks: list[DataFrame] = []
     while not both.isEmpty():
         if len(picks) == rounds:
             raise RuntimeError(f"components are not complete after {rounds} rounds")
-        rank = lambda c, k=len(picks): F.struct((F.xxhash64(F.lit(k), c) if k % 2 else F.lit(0)).alias("h"), F.col(c).alias("node"))
-        pick = both.groupBy("src").agg(F.min(rank("dst")).alias("near")).select(F.col("src").alias("node"), F.least(rank("src"), F.col("near"))["node"].alias("pick"))
+        by = lambda c, k=len(picks): F.xxhash64(F.lit(k), c) if k % 2 else F.col(c)
+        # plain numbers are aggregated by hash; a struct of both would sort the edges
+        near = both.groupBy("src").agg(F.min(by("dst")).alias("h"), F.min_by("dst", by("dst")).alias("near"))
+        pick = near.select(F.col("src").alias("node"), F.when(by("src") <= F.col("h"), F.col("src")).otherwise(F.col("near")).alias("pick"))
         pick = materialize(pick, "picks")
         picks.append(pick)
-        left = both.join(pick.toDF("src", "a"), "src").join(pick.toDF("dst", "b"), "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        both = materialize(left.distinct(), "edges")
+        left = both.join(pick.toDF("src", "a").hint("SHUFFLE_HASH"), "src").join(pick.toDF("dst", "b").hint("SHUFFLE_HASH"), "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        both = materialize(once(left), "edges")
     total = nodes.select("node", F.col("node").alias("pick")) if not picks else picks[-1]
     for pick in reversed(picks[:-1]):
         total = pick.join(total.toDF("pick", "last"), "pick", "left").select("node", F.coalesce("last", "pick").alias("pick"))

@@ -316,6 +316,22 @@ def test_triangles_make_only_pairs_that_may_close(spark, monkeypatch):
     assert graphs.triangles(spark.createDataFrame(sorted(pairs), "src long, dst long")).first()[0] == expected
 
 
+def test_components_deal_edges_by_number(spark, monkeypatch):
+    """Edges of each round go to as many tasks as their number asks for, and nothing sorts them to aggregate."""
+    monkeypatch.setattr(graphs, "BUCKET_EDGES", 20)
+    kept, write = [], graphs.materialize
+    monkeypatch.setattr(graphs, "materialize", lambda df, label: kept.append((label, df._jdf.queryExecution().executedPlan().toString())) or write(df, label))
+    pairs = [(i, (i * 7) % 90 + 200) for i in range(180)] + [(500, 501)]
+    got = {r.node: r.component for r in graphs.connected_components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == root
+    dealt = [p for label, p in kept if label == "edges"][1:]
+    assert dealt and all("REPARTITION_BY_NUM" in p and "18)" in p for p in dealt) and not any("SortAggregate" in p for _, p in kept)
+
+
 def test_limits(engine):
     flow = numbers(engine, 100)
     assert [r.value for r in flow.sorted_limit_by(F.desc("value"), n=3, offset=2).collect_vec()] == [97, 96, 95]
