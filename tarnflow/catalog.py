@@ -13,7 +13,7 @@ from tarnflow.operators import joins, ordering
 from tarnflow.operators import windows as win
 from tarnflow.plans import graphs, iteration, nexmark
 from tarnflow.registry import DAY, EVENTS, HOUR, ORACLE_SQL, QUERIES, events, flow, micros, money, query  # noqa: F401
-from tarnflow.storage import shared_dir
+from tarnflow.storage import bucketed, drop, shared_dir
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
@@ -588,11 +588,14 @@ def replay(spark, sf_dir):
 @query("SELECT o_orderkey AS node, min(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS best FROM orders")
 def delta_iterate(spark, sf_dir):
     """The least price of each order and those of its customer before it, passed on from order to order until nothing falls."""
-    links = catalog_loops.next_orders(spark, sf_dir)
+    orders = catalog_loops.next_orders(spark, sf_dir)
+    links, table = bucketed(orders, "src", max(spark.sparkContext.defaultParallelism, flow(spark, sf_dir, "orders").df.count() >> 20))
     solution = flow(spark, sf_dir, "orders").df.select(F.col("o_orderkey").alias("node"), F.col("o_totalprice").alias("best"))
     step = lambda df: df.join(links, df["node"] == links["src"]).select(F.col("dst").alias("node"), F.col("best").alias("offer"))
     lower = lambda df: df.select("node", F.least("best", F.coalesce("offer", "best")).alias("best"), (F.coalesce("offer", "best") < F.col("best")).alias("changed"))
-    return iteration.delta_iterate(solution, step(solution), 1000, "node", lower, step)
+    out = iteration.delta_iterate(solution, step(solution), 1000, "node", lower, step)
+    drop(spark, table)
+    return out
 
 
 @query("WITH RECURSIVE c(value, v, steps) AS (SELECT range, range, 0 FROM range(1, 2000) UNION ALL SELECT value, CASE WHEN v % 2 = 0 THEN v // 2 ELSE 3 * v + 1 END, steps + 1 FROM c WHERE v > 1) SELECT value, max(steps)::BIGINT AS steps FROM c GROUP BY value ORDER BY steps DESC, value LIMIT 1")

@@ -332,6 +332,17 @@ def test_components_deal_edges_by_number(spark, monkeypatch):
     assert dealt and all("REPARTITION_BY_NUM" in p and "18)" in p for p in dealt) and not any("SortAggregate" in p for _, p in kept)
 
 
+def test_offers_meet_links_in_place(spark, monkeypatch):
+    """Links are made once, not in each round."""
+    from tarnflow import catalog
+
+    plans = []
+    monkeypatch.setattr(catalog.iteration, "delta_iterate", lambda solution, delta, rounds, key, merge, body: plans.append(body(solution)._jdf.queryExecution().executedPlan().toString()) or solution)
+    catalog.QUERIES["delta_iterate"](spark, "/root/testdata/sf0.001")
+    assert "default.cut_" in plans[0] and "Window" not in plans[0]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("cut_")]
+
+
 def test_limits(engine):
     flow = numbers(engine, 100)
     assert [r.value for r in flow.sorted_limit_by(F.desc("value"), n=3, offset=2).collect_vec()] == [97, 96, 95]
