@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 
 from tarnflow.storage import discard, materialize
 
+#: Rounds after which a fixpoint puts what it knows together.
+MANY = 16
+
 
 def iterate(df: DataFrame, rounds: int, state, body: Callable[[DataFrame, object], DataFrame], fold: Callable[[DataFrame], object], update: Callable[[object, object], object], go_on: Callable[[object], bool] = lambda s: True) -> tuple[object, DataFrame]:
     """Feed the rows back through ``body`` at least once and at most ``rounds`` times; returns the state and the last rows.
@@ -63,12 +67,19 @@ def collect_state(df: DataFrame, **named):
 
 
 def fixpoint(rows: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """Add what ``step`` derives from the newest rows until nothing is new (semi-naive evaluation)."""
-    known = materialize(rows.distinct(), "known")
-    new = known
+    """Add what ``step`` derives from the newest rows until nothing is new (semi-naive evaluation).
+
+    What is known stays in the files of the rounds that found it, and is written anew only where they have become many.
+    """
+    parts = [materialize(rows.distinct(), "known")]
+    new = known = parts[0]
     while True:
         new = materialize(step(known, new).distinct().join(known, known.columns, "left_anti"), "new")
         if new.isEmpty():
             return known
-        before, known = known, materialize(known.union(new), "known")
-        discard(before)
+        parts.append(new)
+        known = reduce(DataFrame.union, parts)
+        if len(parts) == MANY:
+            known = materialize(known, "known")
+            discard(*[p for p in parts if p is not new])
+            parts = [known]

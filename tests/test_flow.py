@@ -343,6 +343,19 @@ def test_offers_meet_links_in_place(spark, monkeypatch):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("cut_")]
 
 
+def test_fixpoint_writes_what_is_new(spark, monkeypatch):
+    """What is known isn't written again each round; and many rounds are put together without loss."""
+    kept, write = [], iteration.materialize
+    monkeypatch.setattr(iteration, "materialize", lambda df, label: kept.append(label) or write(df, label))
+    path = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31), (31, 32), (32, 30)], "src long, dst long")
+    got = {tuple(r) for r in graphs.transitive_closure(path).collect()}
+    assert got == {(a, b) for a in range(20) for b in range(a + 1, 21)} | {(a, b) for a in (30, 31, 32) for b in (30, 31, 32)}
+    assert kept.count("known") == 1
+    monkeypatch.setattr(iteration, "MANY", 3)
+    count = iteration.fixpoint(spark.createDataFrame([(0,)], "v long"), lambda known, new: new.where("v < 8").select((F.col("v") + 1).alias("v")))
+    assert sorted(r.v for r in count.collect()) == list(range(9))
+
+
 def test_limits(engine):
     flow = numbers(engine, 100)
     assert [r.value for r in flow.sorted_limit_by(F.desc("value"), n=3, offset=2).collect_vec()] == [97, 96, 95]
